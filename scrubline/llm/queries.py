@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from scrubline.llm import chat_format
+from scrubline.llm import chat_format, decontam
 
 
 def queries() -> dict:
     return {
+        "op8_decontaminate": decontam.op8_decontaminate,
         "op9_chat_prefix_target": chat_format.op9_chat_prefix_target,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_prefix_target": chat_format.OP9_SQL}
+    return {
+        "op8_decontaminate": decontam.OP8_SQL,
+        "op9_chat_prefix_target": chat_format.OP9_SQL,
+    }
