@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scrubline.llm import chat_format, decontam
+from scrubline.llm import chat_format, decontam, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op4_fertility_rules": quality_rules.op4_fertility_rules,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_chat_prefix_target": chat_format.op9_chat_prefix_target,
     }
