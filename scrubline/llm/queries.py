@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrubline.llm import chat_format, decontam, quality_rules
+from scrubline.llm import chat_format, classifier, decontam, quality_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_fertility_rules": quality_rules.op4_fertility_rules,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_chat_prefix_target": chat_format.op9_chat_prefix_target,
+        "op10_quality_gbt": classifier.op10_quality_gbt,
     }
 
 
