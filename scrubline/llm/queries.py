@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from scrubline.llm import chat_format, classifier, decontam, pii, quality_rules, token_output
+from scrubline.llm import chat_format, classifier, decontam, packing, pii, quality_rules, token_output
 
 
 def queries() -> dict:
     return {
         "op4_fertility_rules": quality_rules.op4_fertility_rules,
         "op5_token_frames": token_output.op5_token_frames,
+        "op6_exact_complement": packing.op6_exact_complement,
         "op7_feistel_pseudonyms": pii.op7_feistel_pseudonyms,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_chat_prefix_target": chat_format.op9_chat_prefix_target,
