@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scrubline.llm import chat_format, classifier, decontam, packing, pii, quality_rules, token_output
+from scrubline.llm import chat_format, classifier, decontam, packing, pii, quality_rules, simhash, token_output
 
 
 def queries() -> dict:
     return {
+        "op1_simhash_grid": simhash.op1_simhash_grid,
         "op4_fertility_rules": quality_rules.op4_fertility_rules,
         "op5_token_frames": token_output.op5_token_frames,
         "op6_exact_complement": packing.op6_exact_complement,
