@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from scrubline.llm import chat_format, classifier, decontam, packing, pii, quality_rules, simhash, token_output
+from scrubline.llm import bwt_dedup, chat_format, classifier, decontam, packing, pii, quality_rules, simhash, substring_tree, token_output
 
 
 def queries() -> dict:
     return {
         "op1_simhash_grid": simhash.op1_simhash_grid,
+        "op2_prefix_suffix_trees": substring_tree.op2_prefix_suffix_trees,
+        "op3_bwt_merge": bwt_dedup.op3_bwt_merge,
         "op4_fertility_rules": quality_rules.op4_fertility_rules,
         "op5_token_frames": token_output.op5_token_frames,
         "op6_exact_complement": packing.op6_exact_complement,
