@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from scrubline.llm import common
-from scrubline.llm.encoding import WordEncoder, pack
+from scrubline.llm.encoding import WordEncoder, encoder, pack
 
 END_ID = 1
 CAPACITY = 4096
@@ -145,7 +145,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     """One row of PIECES for each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(tokenizer_path), pack([end_id])
+        encode, end = encoder(WordEncoder, tokenizer_path), pack([end_id])
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for d, t in zip(batch.column(0), batch.column(1), strict=True):

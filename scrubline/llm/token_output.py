@@ -7,9 +7,9 @@ own under the shared dictionary; ``offsets`` (one more than documents) index the
 say whose they are; ``dict_sha256`` names the dictionary, which lies beside the shards. One document is read by its
 slice of one blob. Shards of one range partition follow each other by ``seq``; partitions ascend with doc_id.
 
-The dictionary is trained on the ids of at most ``sample_docs`` documents (those with the smallest keyed hash of
-doc_id among texts of at most ``sample_bytes`` bytes), a bound that doesn't grow with the corpus; it affects sizes
-only. Documents move once, to their range partition, as text.
+The dictionary is trained on the ids of about ``sample_docs`` documents, at most twice as many (those with a keyed hash
+of doc_id below a limit, among texts of at most ``sample_bytes`` bytes), a bound that doesn't grow with the corpus; it
+affects sizes only. Documents move once, to their range partition, as text.
 
 Defined results: a null or empty text is the end id alone; rows with equal doc_id follow each other in the order of
 their texts; null doc_ids come first; an empty table gives an empty data set; too few or too uniform documents for
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scrubline.llm import common
-from scrubline.llm.encoding import ByteLevelEncoder, pack
+from scrubline.llm.encoding import ByteLevelEncoder, encoder, pack
 
 END_ID = 0
 
@@ -39,7 +39,7 @@ class Format:
     tokenizer_path: str
     level: int = 3
     dict_bytes: int = 64 << 10
-    sample_docs: int = 1_000
+    sample_docs: int = 600
     sample_bytes: int = 32 << 10
     shard_bytes: int = 4 << 20
     shard_docs: int = 4_096
@@ -56,10 +56,11 @@ SHARD = "part int, seq int, dict_sha256 string, start long, total long, doc_ids
 
 def train_dictionary(docs: DataFrame, fmt: Format) -> bytes:
     """The dictionary, or nothing if the sample can't give one."""
-    fit = docs.where(F.octet_length("text").between(1, fmt.sample_bytes))
-    rows = fit.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text").limit(fmt.sample_docs).select("text").collect()
-    encode = ByteLevelEncoder(fmt.tokenizer_path)
-    samples = [encode(r.text) + pack([END_ID]) for r in rows]
+    share = min(1.0, fmt.sample_docs / max(1, docs.count()))
+    chosen = docs.where(F.abs(F.xxhash64("doc_id", F.lit(7)) / 2) <= share * 2.0**62)
+    rows = chosen.where(F.octet_length("text").between(1, fmt.sample_bytes)).select("text").limit(2 * fmt.sample_docs).collect()
+    encode = encoder(ByteLevelEncoder, fmt.tokenizer_path)
+    samples = sorted(encode(r.text) + pack([END_ID]) for r in rows)
     try:
         return zstandard.train_dictionary(fmt.dict_bytes, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -78,7 +79,7 @@ def write_tokens(docs: DataFrame, path: str, fmt: Format) -> None:
         from pyspark import TaskContext
 
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        encode = ByteLevelEncoder(fmt.tokenizer_path)
+        encode = encoder(ByteLevelEncoder, fmt.tokenizer_path)
         end = pack([END_ID])
         squeeze = zstandard.ZstdCompressor(level=fmt.level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None).compress
         ids, counts, frames, size = [], [], [], 0
