@@ -235,4 +235,4 @@ def find_hidden(text: Column) -> Column:
             out.append(rows)
         return pa.array(out, _FOUND)
 
-    return F.coalesce(run(F.when(text.rlike(T.HAZARD), text)), F.when(text.isNotNull(), F.array().cast(FOUND)))
+    return F.coalesce(run(F.when(T.has_hazard(text), text)), F.when(text.isNotNull(), F.array().cast(FOUND)))

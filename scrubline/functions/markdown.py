@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from scrubline.functions.let import let
+from scrubline.functions.let import let, present
 
 # -- fixed values: patterns that results depend on ----------------------------------------------------------------------
 
@@ -36,6 +36,9 @@ INLINE = (
     ("~~(?=\\S)(.+?)(?<=\\S)~~", "$1"),
     ("\\\\([\\\\`*_{}\\[\\]()#+\\-.!>~|])", "$1"),
 )
+INLINE_NEEDS = (("![",), ("](",), ("](",), ("<http",), ("``",), ("`",), ("***", "___"), ("**", "__"), ("*",), ("_",), ("~~",), ("\\",))
+#: A line without any of these characters has no rule of its own but a setext underline's.
+MARKS = "[#>*+|_=~`<\\[\\]\\\\-]"
 BLANK_ENDS = "^[\\s\\p{Z}]+|[\\s\\p{Z}]+\\z"
 TEXT_CHARACTER = "[^\\s\\p{Z}\\x{1C}-\\x{1F}]"
 
@@ -49,9 +52,14 @@ def _when(state: Column, pattern: str, new) -> Column:
     return let(state, lambda s: F.when(s["line"].rlike(pattern), _state(new(s["line"]), s["n"] + 1)).otherwise(_state(s["line"], s["n"])))
 
 
-def _all(state: Column, pattern: str, replacement: str) -> Column:
-    """A change for each match."""
-    return let(state, lambda s: _state(F.regexp_replace(s["line"], F.lit(pattern), F.lit(replacement)), s["n"] + F.regexp_count(s["line"], F.lit(pattern))))
+def _all(state: Column, pattern: str, replacement: str, needs: tuple[str, ...]) -> Column:
+    """A change for each match, where the literal that each match starts with is present."""
+
+    def apply(s: Column) -> Column:
+        done = _state(F.regexp_replace(s["line"], F.lit(pattern), F.lit(replacement)), s["n"] + F.regexp_count(s["line"], F.lit(pattern)))
+        return F.when(present(s["line"], needs), done).otherwise(s)
+
+    return let(state, apply)
 
 
 def table_cells(line: Column) -> Column:
@@ -60,8 +68,8 @@ def table_cells(line: Column) -> Column:
 
 
 def inline(state: Column) -> Column:
-    for pattern, replacement in INLINE:
-        state = _all(state, pattern, replacement)
+    for (pattern, replacement), needs in zip(INLINE, INLINE_NEEDS, strict=True):
+        state = _all(state, pattern, replacement, needs)
     return state
 
 
@@ -82,7 +90,8 @@ def clean_line(line: Column, before: Column) -> Column:
     )
     state = _when(state, BULLET, marked)
     state = _when(state, TABLE_ROW, table_cells)
-    return F.when(gone, _state(F.lit(None).cast("string"), F.lit(1))).otherwise(inline(state))
+    marked_line = F.when(gone, _state(F.lit(None).cast("string"), F.lit(1))).otherwise(inline(state))
+    return F.when(line.rlike(MARKS), marked_line).otherwise(_state(line, F.lit(0)))
 
 
 def strip_markdown(text: Column) -> Column:

@@ -5,11 +5,12 @@ All of it is java.util.regex inside Catalyst. Patterns are literals, so each is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, functions as F
 
-from scrubline.functions.let import let, rewrite
+from scrubline.functions.let import Rule, let, rewrite
 
 # -- fixed values: vocabularies and patterns that results depend on -----------------------------------------------------
 
@@ -60,6 +61,8 @@ HAZARD = (
     "\\x{2028}-\\x{202F}\\x{205F}-\\x{206F}\\x{3000}\\x{3164}\\x{FDD0}-\\x{FDEF}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{FFA0}\\x{FFF0}-\\x{FFFC}"
     "\\x{E0000}-\\x{E0FFF}]|\\p{Cf}|\\p{Co}|\\p{Cn}"
 )
+#: Beyond printable ASCII and plain Latin letters.
+UNUSUAL = "[^\\x{9}\\x{A}\\x{20}-\\x{7E}\\x{A1}-\\x{AC}\\x{AE}-\\x{2FF}]"
 #: Hidden characters whose fate depends on neighbours or on the whole text.
 CONTEXTUAL = (
     "[\\x{200C}-\\x{200F}\\x{61C}\\x{2066}-\\x{2069}\\x{600}-\\x{605}\\x{6DD}\\x{70F}\\x{890}\\x{891}\\x{8E2}\\x{110BD}\\x{110CD}\\x{180B}-\\x{180D}"
@@ -105,39 +108,70 @@ def normalize_newlines(text: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def artifact_rules(o: TextOptions) -> list[tuple[str, str, str]]:
-    rules = [("AI_CITATIONS", p, "") for p in CITATIONS] if o.remove_ai_artifacts else []
-    rules += [("TRACKING", TRACKING, "$1")] if o.remove_tracking else []
-    return rules + ([("CITATION_NUMBERS", CITATION_NUMBERS, "")] if o.remove_citation_numbers else [])
+def artifact_rules(o: TextOptions) -> list[Rule]:
+    rules = [Rule("AI_CITATIONS", p, "", (needed,)) for p, needed in zip(CITATIONS, ("\ue200", "turn", "\u3010", "[^"), strict=True)] if o.remove_ai_artifacts else []
+    rules += [Rule("TRACKING", TRACKING, "$1", ("?", "&"))] if o.remove_tracking else []
+    return rules + ([Rule("CITATION_NUMBERS", CITATION_NUMBERS, "", ("[",))] if o.remove_citation_numbers else [])
 
 
-def typography_rules(o: TextOptions) -> list[tuple[str, str, str]]:
+def typography_rules(o: TextOptions) -> list[Rule]:
     """Exact wherever no hidden character or fancy letter stands beside a long dash."""
     rules = []
     if o.dashes:
-        rules += [("DASHES", _class(DASHES), "-"), ("DASHES", f"(?<=[\\p{{L}}\\p{{Nd}}]){_class(LONG_DASHES)}(?=[\\p{{L}}\\p{{Nd}}])", " - "), ("DASHES", _class(LONG_DASHES), "-")]
+        long = _class(LONG_DASHES)
+        rules += [
+            Rule("DASHES", _class(DASHES), "-", tuple(DASHES)),
+            Rule("DASHES", f"(?<=[\\p{{L}}\\p{{Nd}}]){long}(?=[\\p{{L}}\\p{{Nd}}])", " - ", tuple(LONG_DASHES)),
+            Rule("DASHES", long, "-", tuple(LONG_DASHES)),
+        ]
     if o.quotes:
-        rules += [("QUOTES", _class(DOUBLE_QUOTES), '"'), ("QUOTES", _class(SINGLE_QUOTES), "'")]
-    return rules + ([("ELLIPSIS", ELLIPSIS, "...")] if o.ellipsis else [])
+        rules += [Rule("QUOTES", _class(DOUBLE_QUOTES), '"', tuple(DOUBLE_QUOTES)), Rule("QUOTES", _class(SINGLE_QUOTES), "'", tuple(SINGLE_QUOTES))]
+    return rules + ([Rule("ELLIPSIS", ELLIPSIS, "...", (ELLIPSIS,))] if o.ellipsis else [])
 
 
-def context_free_rules() -> list[tuple[str, str, str]]:
-    """Hidden characters that go whatever stands around them; the rest of the format characters needs their context."""
-    return [
-        ("CONTROL", CONTROL, ""),
-        ("BIDI", EMBEDDINGS, ""),
-        ("INVISIBLE", ALWAYS_INVISIBLE, ""),
-        ("INVISIBLE", RESERVED_IGNORABLE, ""),
-        ("INVISIBLE", NONCHARACTERS, ""),
-        ("PRIVATE_USE", PRIVATE_USE, ""),
-        ("SPECIAL_SPACES", _class(SPECIAL_SPACES), " "),
-        ("SPECIAL_SPACES", _class(LINE_SEPARATORS), "\n"),
-    ]
+def has_hazard(text: Column) -> Column:
+    """Whether a text can hold a hidden character: a search with few ranges settles plain Latin texts."""
+    return text.rlike(UNUSUAL) & text.rlike(HAZARD)
 
 
-def apply_rules(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+#: Hidden characters that go whatever stands around them; the rest of the format characters needs its context.
+CONTEXT_FREE = {
+    "CONTROL": CONTROL,
+    "BIDI": EMBEDDINGS,
+    "INVISIBLE": f"{ALWAYS_INVISIBLE}|{RESERVED_IGNORABLE}|{NONCHARACTERS}",
+    "PRIVATE_USE": PRIVATE_USE,
+}
+
+
+def strip_context_free(text: Column) -> Column:
+    """struct<text, counts>: one code point goes at a time, so lengths tell the counts."""
+    issues = [*CONTEXT_FREE, "SPECIAL_SPACES"]
+    state = F.struct(text.alias("text"), *[F.lit(0).alias(i) for i in issues])
+
+    def step(issue: str, after: Callable[[Column], Column], rest: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def apply(s: Column) -> Column:
+            n = F.length(s["text"]) - F.length(rest(s["text"]))
+            return F.struct(after(s["text"]).alias("text"), *[(s[i] + n if i == issue else s[i]).alias(i) for i in issues])
+
+        return apply
+
+    made = state
+    for issue, pattern in CONTEXT_FREE.items():
+        gone = _remover(pattern)
+        made = let(made, step(issue, gone, gone))
+    spaces = SPECIAL_SPACES + LINE_SEPARATORS
+    plain = " " * len(SPECIAL_SPACES) + "\n" * len(LINE_SEPARATORS)
+    made = let(made, step("SPECIAL_SPACES", lambda t: F.translate(t, spaces, plain), lambda t: F.translate(t, spaces, "")))
+    return F.when(has_hazard(text), made).otherwise(state)
+
+
+def _remover(pattern: str) -> Callable[[Column], Column]:
+    return lambda t: F.regexp_replace(t, F.lit(pattern), F.lit(""))
+
+
+def apply_rules(text: Column, rules: list[Rule]) -> Column:
     """struct<text, one count per issue that occurs in rules>."""
-    return rewrite(text, rules, list(dict.fromkeys(r[0] for r in rules)))
+    return rewrite(text, rules, list(dict.fromkeys(r.issue for r in rules)))
 
 
 def remove_citations(text: Column) -> Column:
@@ -149,11 +183,7 @@ def remove_tracking(text: Column) -> Column:
 
 
 def remove_citation_numbers(text: Column) -> Column:
-    return apply_rules(text, [("CITATION_NUMBERS", CITATION_NUMBERS, "")])
-
-
-def strip_context_free(text: Column) -> Column:
-    return apply_rules(text, context_free_rules())
+    return apply_rules(text, artifact_rules(TextOptions(remove_ai_artifacts=False, remove_tracking=False, remove_citation_numbers=True)))
 
 
 def whitespace(text: Column, o: TextOptions) -> Column:
@@ -161,7 +191,7 @@ def whitespace(text: Column, o: TextOptions) -> Column:
     state = F.struct(text.alias("text"), F.lit(0).alias("WHITESPACE"))
     if o.trim_lines:
         # a line ends before any of Java's line terminators
-        state = let(state, lambda s: rewrite(s["text"], [("WHITESPACE", "(?m)[ \\t]+$", "")], ["WHITESPACE"]))
+        state = let(state, lambda s: rewrite(s["text"], [Rule("WHITESPACE", "(?m)[ \\t]+$", "", (" \n", "\t", " \r", " \u0085", " \u2028", " \u2029"))], ["WHITESPACE"]))
         state = let(
             state,
             lambda s: let(
@@ -182,4 +212,4 @@ def describe(code_point: Column) -> Column:
 
 def code_points(text: Column) -> Column:
     """The code points of a text as integers."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("int"))
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))

@@ -56,11 +56,12 @@ def clean_text(df: DataFrame, column: str = "text", options: TextOptions = TextO
     work = df.withColumn("_a", first)
     work = work.withColumn("_m", markdown.strip_markdown(F.col("_a.text")) if o.strip_markdown else F.struct(F.col("_a.text").alias("text"), F.lit(0).alias("MARKDOWN")))
     typed = T.typography_rules(o)
-    issues = list(dict.fromkeys(r[0] for r in typed))
+    issues = list(dict.fromkeys(r.issue for r in typed))
     plain = F.col("_m.text")
     hazard = plain.rlike(T.HAZARD) | plain.rlike(uncomposed_pattern())
     if o.fancy:
         hazard = hazard | plain.rlike(T.FANCY)
+    hazard = plain.rlike(T.UNUSUAL) & hazard
     work = work.withColumn("_p", hidden.character_pass(o)(F.when(hazard, plain)))
     native = T.apply_rules(plain, typed) if typed else F.struct(plain.alias("text"))
     work = work.withColumn("_t", F.when(F.col("_p").isNull(), native))
@@ -68,7 +69,7 @@ def clean_text(df: DataFrame, column: str = "text", options: TextOptions = TextO
     none = F.array().cast("array<struct<issue:string,n:int>>")
     counts = _merge(
         [
-            _listed(F.col("_a"), list(dict.fromkeys(r[0] for r in rules))),
+            _listed(F.col("_a"), list(dict.fromkeys(r.issue for r in rules))),
             _listed(F.col("_m"), ["MARKDOWN"]),
             F.coalesce(F.col("_p.counts"), none),
             F.when(F.col("_p").isNull(), _listed(F.col("_t"), issues)).otherwise(none),
