@@ -211,7 +211,7 @@ def character_pass(o: TextOptions):
             out.append({"text": new, "counts": [{"issue": k, "n": n} for k, n in counts.items()], "points": [{"cp": k, "n": n} for k, n in points.items()]})
         return pa.array(out, _PASSED)
 
-    return run
+    return run.asNondeterministic()  # keeps filters from copying the call into expressions that can't evaluate it
 
 
 def find_hidden(text: Column) -> Column:
@@ -235,4 +235,4 @@ def find_hidden(text: Column) -> Column:
             out.append(rows)
         return pa.array(out, _FOUND)
 
-    return F.coalesce(run(F.when(T.has_hazard(text), text)), F.when(text.isNotNull(), F.array().cast(FOUND)))
+    return F.coalesce(run.asNondeterministic()(F.when(T.has_hazard(text), text)), F.when(text.isNotNull(), F.array().cast(FOUND)))

@@ -331,7 +331,7 @@ def parse_content(content: Column, fmt: Column) -> Column:
         rows = (None if x is None else _row(g, io.BytesIO(x), len(x)) for x, g in zip(contents.to_pylist(), formats.to_pylist(), strict=True))
         return pa.array(rows, _PARSED)
 
-    return run(content, fmt)
+    return run.asNondeterministic()(content, fmt)
 
 
 def parse_files(files: DataFrame, path: str = "path") -> DataFrame:

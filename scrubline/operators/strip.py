@@ -282,4 +282,4 @@ def strip_content(content: Column, fmt: Column, options: StripOptions = StripOpt
         rows = (None if x is None else strip_bytes(x, g, options) for x, g in zip(contents.to_pylist(), formats.to_pylist(), strict=True))
         return pa.array(rows, _OUTCOME)
 
-    return run(content, fmt)
+    return run.asNondeterministic()(content, fmt)

@@ -56,7 +56,7 @@ def _count_sql(text: str, pattern: str) -> str:
 
 # -- hidden characters --------------------------------------------------------------------------------------------------
 
-HIDDEN = [(7, "​"), (5, " "), (11, "‮"), (13, "\x07"), (17, "﻿ "), (19, ""), (23, "\U000e0002")]
+HIDDEN = [(7, "\u200b"), (5, "\u00a0"), (11, "\u202e"), (13, "\x07"), (17, "\ufeff\u2028"), (19, "\ue000"), (23, "\U000e0002")]
 _CLASSES = {
     "BIDI": "[\\x{202A}-\\x{202E}]",
     "CONTROL": "[\\x{0}-\\x{8}\\x{B}-\\x{1F}\\x{7F}-\\x{9F}]",
@@ -114,7 +114,7 @@ SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(t), '[ \\t]+(\\n|$)', '\\1'
 )
 def nfc_normalize(spark, sf_dir):
     """The composed form, which counts as no change."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 5), F.lit("é"), F.substring(F.col("text"), F.lit(6), F.length("text")))).otherwise(F.col("text")).alias("text"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 5), F.lit("e\u0301"), F.substring(F.col("text"), F.lit(6), F.length("text")))).otherwise(F.col("text")).alias("text"))
     c = clean_text(d, "text", TextOptions(remove_ai_artifacts=False, remove_tracking=False))
     return c.select("doc_id", F.md5("cleaned.text").alias("digest"), (F.col("cleaned.hidden") > 0).alias("changed"))
 
@@ -122,7 +122,7 @@ def nfc_normalize(spark, sf_dir):
 @query()
 def text_clean_full(spark, sf_dir):
     """All rules on all documents with hidden characters of every class planted."""
-    contextual = [(3, "‍"), (4, "\U000e0041"), (6, "️"), (9, "⁦"), (10, "“q”—…"), (12, "https://a.example/?utm_source=chatgpt.com"), (14, "**b** [1]")]
+    contextual = [(3, "\u200d"), (4, "\U000e0041"), (6, "\ufe0f"), (9, "\u2066"), (10, "“q”—…"), (12, "https://a.example/?utm_source=chatgpt.com"), (14, "**b** [1]")]
     d = _hidden_docs(spark, sf_dir)
     d = d.select("doc_id", _plant(F.col("text"), F.col("doc_id"), contextual).alias("text"))
     c = clean_text(d, "text", TextOptions.everything())
@@ -136,7 +136,7 @@ SELECT doc_id, i - 1 AS cp_start, i - 1 + CASE WHEN instr(t, chr(128512)) BETWEE
 FROM d, unnest(range(1, 12)) AS r(i) WHERE i <= length(t) AND substring(t, i, 1) IN (chr(8203), chr(8238), chr(8288))"""
 )
 def find_hidden_chars(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", _plant(F.col("text"), F.col("doc_id"), [(3, "​"), (4, "‮"), (25, "\U0001f600⁠")]).alias("text"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", _plant(F.col("text"), F.col("doc_id"), [(3, "\u200b"), (4, "\u202e"), (25, "\U0001f600\u2060")]).alias("text"))
     rows = d.select("doc_id", F.explode(hidden.find_hidden(F.col("text"))).alias("h"))
     return rows.select("doc_id", F.col("h.cp_start").cast("long").alias("cp_start"), F.col("h.start").cast("long").alias("start"), "h.code_point", "h.issue")
 
@@ -147,7 +147,7 @@ SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE {_count_sql("t", "[\\x{200E}
 )
 def bidi_needs_rtl(spark, sf_dir):
     """Marks and isolates stay in texts with right-to-left letters only."""
-    d = _table(spark, sf_dir, "documents").select("doc_id", _plant(F.col("text"), F.col("doc_id"), [(2, "‎"), (3, "⁧"), (6, "א")]).alias("text"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", _plant(F.col("text"), F.col("doc_id"), [(2, "\u200e"), (3, "\u2067"), (6, "א")]).alias("text"))
     return clean_text(d).select("doc_id", F.coalesce(F.try_element_at("cleaned.counts", F.lit("BIDI")), F.lit(0)).cast("long").alias("removed"))
 
 
@@ -157,7 +157,7 @@ def bidi_needs_rtl(spark, sf_dir):
 def tags_and_selectors(spark, sf_dir):
     """Smuggled tag characters and stray selectors go; a subdivision flag and an emoji's selector stay."""
     flag = "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f"
-    d = _table(spark, sf_dir, "documents").select("doc_id", _plant(F.col("text"), F.col("doc_id"), [(2, "q\U000e0061\U000e0062\U000e0001q"), (3, "q️q"), (5, flag + "❤️")]).alias("text"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", _plant(F.col("text"), F.col("doc_id"), [(2, "q\U000e0061\U000e0062\U000e0001q"), (3, "q\ufe0fq"), (5, flag + "❤\ufe0f")]).alias("text"))
     n = lambda issue: F.coalesce(F.try_element_at("cleaned.counts", F.lit(issue)), F.lit(0)).cast("int")
     return clean_text(d).select("doc_id", n("TAG_CHARS").alias("tag_chars"), n("VARIATION_SELECTORS").alias("selectors"))
 
@@ -170,7 +170,7 @@ def code_point_labels(spark, sf_dir):
 
 # -- artifacts, typography, white space ---------------------------------------------------------------------------------
 
-_CITED = " citeturn0search0"
+_CITED = " \ue200cite\ue202turn0search0\ue201"
 _CITED_PLAIN = [(2, " citeturn0search1turn2news3L1-L2"), (3, "【4:0†source】"), (5, "[^12^]"), (7, _CITED)]
 
 

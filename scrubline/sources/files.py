@@ -89,7 +89,7 @@ def allowed_folder(path: Column, is_video: Column, fallback: str = "Pictures") -
 
 def human_size(size: Column) -> Column:
     """``512 B``, ``1.5 KB``, …; a dash for null or negative sizes."""
-    step = lambda k, unit: F.concat(F.format_number(size / float(1024**k), "0.0"), F.lit(unit))
+    step = lambda k, unit: F.format_string(f"%.1f{unit}", size / float(1024**k))
     return (
         F.when(size.isNull() | (size < 0), "—").when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, step(1, " KB"))
         .when(size < 1024**3, step(2, " MB")).otherwise(step(3, " GB"))
