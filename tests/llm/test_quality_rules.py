@@ -31,7 +31,7 @@ def brute(text):
 def texts():
     rng = random.Random(5)
     vocabulary = ["and", "the", "é", "ßun", "#x", "a|b", "<p>", "longerword", "日本", "x"]
-    out = ["", None, " \n\t ", "one", "a\nb\na\n\n a\na", "w " * 500, "\x00odd\x0bwords\x1cjoined here too " * 9]
+    out = ["", None, " \n\t ", "one", "a\nb\na\n\n a\na", "w " * 500, "\x00odd\x0bwords\x1cjoined\u00a0here\u2028too " * 9]
     for n in (7, 8, 9, 19, 20, 21, 60, 300, 40000):
         out.append("".join(rng.choice(vocabulary) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(n)))
     clean = " ".join("".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(500))

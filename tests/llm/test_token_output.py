@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from scrubline.llm import common, encoding, token_output as to
 
 FMT = to.production_format()
-PIECES = ["hello", "wörld", " ", "  ", "\n", "\t", " ", "　", "don't", "123", "<|endoftext|>", "日本語", ".", "\x1c", "é", "É", "🙂", "'s", "a_b", "ͅ"]
+PIECES = ["hello", "wörld", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "don't", "123", "<|endoftext|>", "日本語", ".", "\x1c", "e\u0301", "É", "🙂", "'s", "a_b", "\u0345"]
 
 
 def random_texts(n=300):
