@@ -121,7 +121,7 @@ def typography_rules(o: TextOptions) -> list[Rule]:
         long = _class(LONG_DASHES)
         rules += [
             Rule("DASHES", _class(DASHES), "-", tuple(DASHES)),
-            Rule("DASHES", f"(?<=[\\p{{L}}\\p{{Nd}}]){long}(?=[\\p{{L}}\\p{{Nd}}])", " - ", tuple(LONG_DASHES)),
+            Rule("DASHES", f"{long}(?<=[\\p{{L}}\\p{{Nd}}]{long})(?=[\\p{{L}}\\p{{Nd}}])", " - ", tuple(LONG_DASHES)),
             Rule("DASHES", long, "-", tuple(LONG_DASHES)),
         ]
     if o.quotes:
@@ -129,9 +129,14 @@ def typography_rules(o: TextOptions) -> list[Rule]:
     return rules + ([Rule("ELLIPSIS", ELLIPSIS, "...", (ELLIPSIS,))] if o.ellipsis else [])
 
 
+def beyond_latin(pattern: str) -> str:
+    """The pattern, tried only where an unusual character stands: a class of few ranges settles all others."""
+    return f"(?={UNUSUAL})(?:{pattern})"
+
+
 def has_hazard(text: Column) -> Column:
-    """Whether a text can hold a hidden character: a search with few ranges settles plain Latin texts."""
-    return text.rlike(UNUSUAL) & text.rlike(HAZARD)
+    """Whether a text can hold a hidden character."""
+    return text.rlike(beyond_latin(HAZARD))
 
 
 #: Hidden characters that go whatever stands around them; the rest of the format characters needs its context.
@@ -144,29 +149,24 @@ CONTEXT_FREE = {
 
 
 def strip_context_free(text: Column) -> Column:
-    """struct<text, counts>: one code point goes at a time, so lengths tell the counts."""
-    issues = [*CONTEXT_FREE, "SPECIAL_SPACES"]
-    state = F.struct(text.alias("text"), *[F.lit(0).alias(i) for i in issues])
-
-    def step(issue: str, after: Callable[[Column], Column], rest: Callable[[Column], Column]) -> Callable[[Column], Column]:
-        def apply(s: Column) -> Column:
-            n = F.length(s["text"]) - F.length(rest(s["text"]))
-            return F.struct(after(s["text"]).alias("text"), *[(s[i] + n if i == issue else s[i]).alias(i) for i in issues])
-
-        return apply
-
-    made = state
-    for issue, pattern in CONTEXT_FREE.items():
-        gone = _remover(pattern)
-        made = let(made, step(issue, gone, gone))
+    """struct<text, counts>. One search collects the characters in question; the few of them are told apart by issue, and
+    one translation drops or replaces them all."""
     spaces = SPECIAL_SPACES + LINE_SEPARATORS
     plain = " " * len(SPECIAL_SPACES) + "\n" * len(LINE_SEPARATORS)
-    made = let(made, step("SPECIAL_SPACES", lambda t: F.translate(t, spaces, plain), lambda t: F.translate(t, spaces, "")))
-    return F.when(has_hazard(text), made).otherwise(state)
+    kinds = CONTEXT_FREE | {"SPECIAL_SPACES": _class(spaces)}
+    found = F.regexp_extract_all(text, F.lit("(" + beyond_latin("|".join(kinds.values())) + ")"), 1)
+
+    def of(hits: Column) -> Column:
+        counts = [F.size(F.filter(hits, _matches(p))).alias(i) for i, p in kinds.items()]
+        listed = F.array_join(F.array_distinct(F.filter(hits, lambda c: ~c.rlike(kinds["SPECIAL_SPACES"]))), "")
+        done = F.call_function("translate", text, F.concat(F.lit(spaces), listed), F.lit(plain))
+        return F.struct(F.when(F.size(hits) > 0, done).otherwise(text).alias("text"), *counts)
+
+    return let(found, of)
 
 
-def _remover(pattern: str) -> Callable[[Column], Column]:
-    return lambda t: F.regexp_replace(t, F.lit(pattern), F.lit(""))
+def _matches(pattern: str) -> Callable[[Column], Column]:
+    return lambda c: c.rlike(pattern)
 
 
 def apply_rules(text: Column, rules: list[Rule]) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scrubline.functions import sniff
-from scrubline.functions.let import let
+from scrubline.functions.let import let, present
 from scrubline.operators.blocks import STRONG_TOKENS, parse_content
 
 # -- fixed values: vocabularies that results depend on --------------------------------------------------------------------
@@ -66,14 +66,34 @@ def severity(kind: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS for x in kv]), kind)
 
 
+#: Literals of which each generator's matches hold one, in lower case; a cheap search for them comes before the pattern.
+GENERATOR_NEEDS = (
+    ("openai", "chatgpt", "dall", "gpt-image", "gpt-4o", "sora"), ("gemini", "imagen", "nano", "google", "synthid", "veo"), ("magic", "google ai"), ("firefly", "generative", "adobe gen"),
+    ("bing image", "microsoft designer", "copilot", "azure openai"), ("midjourney",), ("stable", "stability", "sdxl", "automatic1111", "negative prompt:", "sampler:", "cfg scale:"),
+    ("comfyui", "class_type", "ksampler"), ("invokeai", "sd-metadata", "fooocus", "novelai", "nai diffusion"), ("black forest", "flux"), ("meta ai", "imagine with", "emu edit"), ("grok", "x.ai"),
+    ("leonardo", "ideogram", "recraft"), ("runway", "luma ai", "dream machine", "pika"),
+    ("kling", "kuaishou", "hailuo", "minimax", "jimeng", "doubao", "seedream", "seedance", "bytedance", "tongyi", "wanx", "qwen", "hunyuan", "aigc", "contentpro", "produceid"),
+    ("image playground", "apple intelligence", "genmoji"), ("galaxy ai", "generative edit", "sketch to image"),
+    ("canva ai", "magic media", "krea.ai", "playground ai", "freepik ai", "picsart ai", "lensa ai", "remini", "faceapp", "topaz", "luminar neo", "photoroom"),
+    ("ai-generated", "ai generated", "ai\ngenerated", "ai\tgenerated", "ai\rgenerated", "ai\x0bgenerated", "ai\x0cgenerated", "by ai", "with ai"),
+)
+
+
+def _folded(text: Column) -> Column:
+    """Lower case, with the one letter whose lower case isn't what patterns compare it with."""
+    return F.translate(F.lower(text), "\u017f", "s")
+
+
 def source_types(text: Column) -> Column:
     """IPTC terms for synthetic media, not preceded by a letter."""
-    return F.filter(F.array(*[F.when(text.rlike(f"(?iu)(?<![A-Za-z]){t}"), F.lit(t)) for t in SOURCE_TYPES]), lambda x: x.isNotNull())
+    named = lambda low: F.array(*[F.when(low.contains(t.lower()) & text.rlike(f"(?iu)(?<![A-Za-z]){t}"), F.lit(t)) for t in SOURCE_TYPES])
+    return let(_folded(text), lambda low: F.filter(named(low), lambda x: x.isNotNull()))
 
 
 def generators(text: Column) -> Column:
     """Names of generators, in the vocabulary's order."""
-    return F.filter(F.array(*[F.when(text.rlike(f"(?iu)(?:{p})"), F.lit(n)) for n, p in GENERATORS]), lambda x: x.isNotNull())
+    named = lambda low: F.array(*[F.when(present(low, needs) & text.rlike(f"(?iu)(?:{p})"), F.lit(n)) for (n, p), needs in zip(GENERATORS, GENERATOR_NEEDS, strict=True)])
+    return let(_folded(text), lambda low: F.filter(named(low), lambda x: x.isNotNull()))
 
 
 def is_parameters(key: Column, text: Column) -> Column:

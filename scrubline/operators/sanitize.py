@@ -58,10 +58,7 @@ def clean_text(df: DataFrame, column: str = "text", options: TextOptions = TextO
     typed = T.typography_rules(o)
     issues = list(dict.fromkeys(r.issue for r in typed))
     plain = F.col("_m.text")
-    hazard = plain.rlike(T.HAZARD) | plain.rlike(uncomposed_pattern())
-    if o.fancy:
-        hazard = hazard | plain.rlike(T.FANCY)
-    hazard = plain.rlike(T.UNUSUAL) & hazard
+    hazard = plain.rlike(T.beyond_latin("|".join([T.HAZARD, uncomposed_pattern(), *([T.FANCY] if o.fancy else [])])))
     work = work.withColumn("_p", hidden.character_pass(o)(F.when(hazard, plain)))
     native = T.apply_rules(plain, typed) if typed else F.struct(plain.alias("text"))
     work = work.withColumn("_t", F.when(F.col("_p").isNull(), native))

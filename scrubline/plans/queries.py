@@ -92,7 +92,7 @@ h AS (SELECT unnest(regexp_extract_all(t, '{_re2(_GONE)}|{_CLASSES["SPECIAL_SPAC
 SELECT CAST(ord(ch) AS INTEGER) AS code_point, count(*) AS n FROM h GROUP BY ch"""
 )
 def hidden_code_point_histogram(spark, sf_dir):
-    hits = F.regexp_extract_all(F.col("text"), F.lit("(" + T.HAZARD + ")"), 1)
+    hits = F.regexp_extract_all(F.col("text"), F.lit("(" + T.beyond_latin(T.HAZARD) + ")"), 1)
     chars = _hidden_docs(spark, sf_dir).select(F.explode(hits).alias("ch"))
     return chars.groupBy("ch").count().select(F.element_at(T.code_points(F.col("ch")), 1).alias("code_point"), F.col("count").alias("n"))
 
