@@ -575,3 +575,110 @@ def media_strip_verify(spark, sf_dir):
 @query()
 def removed_audit(spark, sf_dir):
     return media.removed_audit(media.clean_media(samples.sample_files(spark)), ["path"])
+
+
+# -- further byte, source and queue operators ---------------------------------------------------------------------------
+
+
+@query(
+    """WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'xxjumb..c2pa' WHEN 1 THEN 'c2pa then jumb' ELSE '' END || html AS t FROM pages)
+SELECT page_id, contains(t, 'jumb') AND contains(substring(t, instr(t, 'jumb')), 'c2pa') AS jumbf FROM p"""
+)
+def jumbf_detected(spark, sf_dir):
+    """The container label with a manifest label behind it."""
+    lead = F.when(F.col("page_id") % 3 == 0, "xxjumb..c2pa").when(F.col("page_id") % 3 == 1, "c2pa then jumb").otherwise("")
+    return _table(spark, sf_dir, "pages").select("page_id", sniff.contains_jumbf(F.concat(lead, "html").cast("binary")).alias("jumbf"))
+
+
+_TOKENS_SQL = ", ".join(f"'{t}'" for t in ("c2pa.claim", "urn:c2pa", "Content Credentials"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a c2pa.claim' WHEN 1 THEN 'urn:c2pa:x Content Credentials' ELSE '' END || text AS t FROM documents)
+SELECT doc_id, token, instr(t, token) AS at, length(substring(t, greatest(1, instr(t, token) - 512), least(instr(t, token) - 1, 512) + 4096)) AS context
+FROM d, unnest([{_TOKENS_SQL}]) AS k(token) WHERE contains(t, token)"""
+)
+def strong_tokens(spark, sf_dir):
+    """First place of each strong token, with its context of 512 before and 4,096 behind."""
+    lead = F.when(F.col("doc_id") % 4 == 0, "a c2pa.claim").when(F.col("doc_id") % 4 == 1, "urn:c2pa:x Content Credentials").otherwise("")
+    tokens = F.explode(F.array(*map(F.lit, ("c2pa.claim", "urn:c2pa", "Content Credentials"))))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("t")).select("doc_id", "t", tokens.alias("token")).where(F.col("t").contains(F.col("token")))
+    at = F.call_function("instr", F.col("t"), F.col("token"))
+    window = F.substring(F.col("t"), F.greatest(F.lit(1), at - 512), F.least(at - 1, F.lit(512)) + 4096)
+    return d.select("doc_id", "token", at.cast("long").alias("at"), F.length(window).cast("long").alias("context"))
+
+
+@query("SELECT doc_id, rtrim(text || repeat(chr(0), CAST(doc_id % 3 AS INTEGER)), chr(0)) AS text FROM documents")
+def loosely_decoded(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.repeat(F.lit("\0"), (F.col("doc_id") % 3).cast("int"))).cast("binary").alias("raw"))
+    return d.select("doc_id", sniff.decode_loose(F.col("raw")).alias("text"))
+
+
+@query(
+    f"""WITH i AS ({_ITEMS_SQL}), c AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'retry' WHEN 1 THEN 'remove' WHEN 2 THEN 'clear' ELSE 'originals_deleted' END AS action FROM events WHERE event_id % 3 = 0)
+SELECT i.id, CASE WHEN action = 'retry' AND status IN ('DONE', 'FAILED') THEN 'QUEUED' ELSE status END AS status, coalesce(action = 'originals_deleted', false) AS original_deleted
+FROM i LEFT JOIN c USING (id) WHERE NOT (coalesce(action, '') = 'remove' AND status <> 'WORKING') AND NOT (coalesce(action, '') = 'clear' AND status IN ('DONE', 'FAILED'))"""
+)
+def queue_controls(spark, sf_dir):
+    from scrubline.streaming.queue import apply_controls
+
+    k = F.col("event_id") % 4
+    action = F.when(k == 0, "retry").when(k == 1, "remove").when(k == 2, "clear").otherwise("originals_deleted")
+    controls = _table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("id"), action.alias("action"))
+    items = _items(spark, sf_dir).withColumn("original_deleted", F.lit(None).cast("boolean"))
+    return apply_controls(items, controls).select("id", "status", "original_deleted")
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, max(event_id) AS last_id FROM events GROUP BY user_id, ts),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 60 MILLISECONDS THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g)
+SELECT user_id, min(ts) AS start, CAST(arg_max(last_id, ts) AS VARCHAR) AS text FROM s GROUP BY user_id, burst"""
+)
+def debounced_edits(spark, sf_dir):
+    from scrubline.streaming.queue import debounced
+
+    edits = _table(spark, sf_dir, "events").groupBy("user_id", "ts").agg(F.max("event_id").cast("string").alias("text"))
+    return debounced(edits).select("user_id", "start", "text")
+
+
+@query("SELECT o_orderkey, 'g' || c_custkey AS gallery_id FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 2 = 0")
+def gallery_lookup(spark, sf_dir):
+    items = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("uri"))
+    catalog = _table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("uri"), F.concat(F.lit("g"), F.col("c_custkey")).alias("gallery_id"))
+    return files.resolve_gallery(items, catalog).select("o_orderkey", "gallery_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-02 00:00:00' - INTERVAL 24 HOURS")
+def expired_work_files(spark, sf_dir):
+    work = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("modified"))
+    return files.expired(work, F.to_timestamp(F.lit("1996-01-02 00:00:00"))).select("o_orderkey")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n * 10 / 1024.0 + 0.5) / 10) ELSE printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) END AS size
+FROM (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * o_custkey AS n FROM orders)"""
+)
+def human_sizes(spark, sf_dir):
+    n = (F.col("o_orderkey") * F.col("o_custkey")).cast("long")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", files.human_size(n).alias("size"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_plant_sql("text", "doc_id", [(2, chr(0x200B)), (3, chr(0xA0)), (5, chr(0x202E))])} AS t FROM documents)
+SELECT doc_id, n AS hidden, n > 0 AS has_hidden FROM (SELECT doc_id, {_count_sql("t", "[\\x{200B}\\x{A0}\\x{202E}]")} AS n FROM d)"""
+)
+def hidden_totals(spark, sf_dir):
+    """Totals over the hidden issues of a full clean."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", _plant(F.col("text"), F.col("doc_id"), [(2, chr(0x200B)), (3, chr(0xA0)), (5, chr(0x202E))]).alias("text"))
+    hidden_n = F.col("cleaned.hidden").cast("long")
+    return clean_text(d).select("doc_id", hidden_n.alias("hidden"), (hidden_n > 0).alias("has_hidden"))
+
+
+@query(
+    "SELECT event_id FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'CLEAN' WHEN 1 THEN 'RESIDUAL' ELSE NULL END AS status FROM events) WHERE status = 'CLEAN'"
+)
+def published(spark, sf_dir):
+    k = F.col("event_id") % 3
+    status = F.when(k == 0, "CLEAN").when(k == 1, "RESIDUAL")
+    return media.publish_gate(_table(spark, sf_dir, "events").select("event_id", status.alias("status")))[0].select("event_id")
