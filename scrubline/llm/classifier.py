@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Features come from the text alone. Training takes the labelled documents outside the held-out fold, at most
-``max_rows`` of them (those with the smallest keyed hash of doc_id: a bounded, repeatable sample), bins each feature
+Features come from the text alone. Training takes the labelled documents outside the held-out fold, about
+``max_rows`` of them at most (by a keyed hash of doc_id: a bounded, repeatable sample), bins each feature
 by quantiles and grows trees level by level from gradient histograms. The trees are flattened into arrays, which
 numpy walks for a whole batch at once. The model's size is bounded by its parameters, so it travels with the tasks.
 
@@ -187,12 +187,15 @@ def fold_of(doc_id: str = "doc_id"):
 
 
 def fit(stats: DataFrame, labels: DataFrame, params: Params = Params()) -> Forest:
-    """Trains on the labelled rows outside the held-out fold."""
+    """Trains on the labelled rows outside the held-out fold: on all, or where they are more than ``max_rows`` on those
+    whose keyed hash of doc_id is below a limit that leaves about as many (never more than 1.5 times)."""
     known = labels.where(F.col("quality").isNotNull() & (fold_of() != HELD_OUT)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    keyed = known.select("doc_id", "quality", F.xxhash64("doc_id").alias("key")).orderBy("key", "doc_id", "quality").limit(params.max_rows)
-    rows = keyed.join(stats, "doc_id").orderBy("key", "doc_id", "quality").limit(params.max_rows).select("quality", "stats").toPandas()
+    share = min(1.0, params.max_rows / max(1, known.count()))
+    chosen = known.where(F.abs(F.xxhash64("doc_id", F.lit(11)) / 2) <= share * 2.0**62)
+    rows = chosen.join(stats, "doc_id").select("doc_id", "quality", "stats").limit(params.max_rows * 3 // 2).toPandas()
     x = np.array(rows["stats"].tolist(), np.float64).reshape(len(rows), len(FEATURES))
-    return train(x, rows["quality"].to_numpy(np.float64), params)
+    order = np.lexsort((*x.T[:2], rows["quality"].to_numpy(), rows["doc_id"].to_numpy()))
+    return train(x[order], rows["quality"].to_numpy(np.float64)[order], params)
 
 
 def score(stats: DataFrame, forest: Forest) -> DataFrame:

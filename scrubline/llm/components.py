@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large and small stars.
 
-Each round is two aggregations of the links by node and two joins of the minimum back to them (both sides dealt by the
-engine, so its skew-join splitting applies to a hub with very many links); nothing is gathered per node. Rounds repeat
+Each round is two aggregations of the links by node and two joins of the minimum back to them. The minima are stored
+before they are joined, so both sides of a join are dealt by the engine and its skew-join splitting applies to a hub
+with very many links; nothing is gathered per node. Rounds repeat
 until the links no longer change, each written to the shared scratch folder. Their number grows with the logarithm
 of the longest chain.
 """
@@ -14,7 +15,7 @@ from scrubline.llm import common
 
 
 def _minimum(links: DataFrame, node: str, other: str) -> DataFrame:
-    return links.groupBy(node).agg(F.min(other).alias("low"))
+    return common.materialize(links.groupBy(node).agg(F.min(other).alias("low")), "low")
 
 
 def _large_star(links: DataFrame) -> DataFrame:

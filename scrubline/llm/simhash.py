@@ -116,9 +116,11 @@ def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     prints = common.materialize(fingerprints(docs), "fingerprints")
     nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     joined = components(links(nodes.select("fp"), cell_limit))
-    groups = joined.join(nodes, joined.node == nodes.fp).select("node", "component", "low")
-    named = groups.join(groups.groupBy("component").agg(F.min("low").alias("name")), "component").select(F.col("node").alias("fp"), "name")
-    labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("name", "low").alias("component_id"))
+    # each side of a join below is a stored table, so that the engine can split a key that holds very many rows
+    groups = common.materialize(joined.join(nodes, joined.node == nodes.fp).select("node", "component", "low"), "groups")
+    names = common.materialize(groups.groupBy("component").agg(F.min("low").alias("name")), "names")
+    named = groups.join(names, "component").select(F.col("node").alias("fp"), "name")
+    labels = common.materialize(nodes.join(named, "fp", "left").select("fp", F.coalesce("name", "low").alias("component_id")), "labels")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
