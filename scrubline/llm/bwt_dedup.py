@@ -120,3 +120,26 @@ def remove_repeated_bytes(docs: DataFrame, min_bytes: int = MIN_BYTES, with_text
 
 def op3_bwt_merge(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), x AS (
+  SELECT doc_id, i, md5(substring(h, 2 * i + 1, 800)) AS k FROM d, unnest(range(0, length(h) // 2 - 399)) AS t(i)
+), f AS (
+  SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY k) > 1
+), g AS (
+  SELECT doc_id, i, CASE WHEN i <= max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 400 THEN 0 ELSE 1 END AS fresh FROM f
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run
+), e AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER w AS before, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) = 1 AS final FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+), kept AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+    string_agg(substring(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN final THEN substring(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS h
+  FROM e JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

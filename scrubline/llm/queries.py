@@ -22,6 +22,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_prefix_suffix_trees": substring_tree.OP2_SQL,
+        "op3_bwt_merge": bwt_dedup.OP3_SQL,
         "op8_decontaminate": decontam.OP8_SQL,
         "op9_chat_prefix_target": chat_format.OP9_SQL,
     }

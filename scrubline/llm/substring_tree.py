@@ -100,3 +100,22 @@ def remove_repeated_words(docs: DataFrame, min_words: int = MIN_WORDS, with_text
 
 def op2_prefix_suffix_trees(spark, sf_dir: str) -> DataFrame:
     return remove_repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS k FROM d, unnest(range(1, len(w) - 18)) AS t(i)
+), f AS (
+  SELECT doc_id, i FROM x QUALIFY (doc_id, i) <> min((doc_id, i)) OVER (PARTITION BY k)
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS pos FROM f, unnest(range(0, 20)) AS u(j)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
