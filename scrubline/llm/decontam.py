@@ -130,8 +130,8 @@ def _scanner(items: list[tuple[str, bytes | None]]):
     return scan
 
 
-def _groups(benchmark: DataFrame, max_bytes: int) -> list[list[tuple[str, bytes | None]]]:
-    """The items by groups of at most max_bytes of text (or one item); one group is on the driver at a time."""
+def _groups(benchmark: DataFrame, max_bytes: int) -> Iterator[tuple[int, list[tuple[str, bytes | None]]]]:
+    """(how many groups, items of one) for each group of about max_bytes of text; one is on the driver at a time."""
     rows = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("binary").alias("text")
     )
@@ -139,7 +139,7 @@ def _groups(benchmark: DataFrame, max_bytes: int) -> list[list[tuple[str, bytes
     n = int(total // max_bytes) + 1
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        yield [(r.item_id, bytes(r.text) if r.text is not None else None) for r in part.collect()]
+        yield n, [(r.item_id, bytes(r.text) if r.text is not None else None) for r in part.collect()]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -148,18 +148,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = M
     With more than one group of items the rows are united by doc_id, which then must tell documents apart.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    scans = [texts.mapInArrow(_scanner(items), HITS) for items in _groups(benchmark, max_bytes)]
-    if len(scans) == 1:
-        return scans[0]
-    found = scans[0]
-    for s in scans[1:]:
-        found = found.unionAll(s)
+    found = None
+    for n, items in _groups(benchmark, max_bytes):
+        scan = texts.mapInArrow(_scanner(items), HITS)
+        if n == 1:
+            return scan
+        hits = common.materialize(scan.where("n_hit > 0"), "hits")  # one group is held at a time
+        found = hits if found is None else found.unionAll(hits)
     runs = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    keyed = texts.join(runs, texts.doc_id.eqNullSafe(runs.doc_id)).select(texts.doc_id, "n_words", "item_ids", "spans", "text")
+    keyed = texts.join(runs, texts.doc_id.eqNullSafe(runs.doc_id), "left").select(texts.doc_id, "item_ids", "spans", "text")
     return keyed.mapInArrow(_unite, HITS)
 
 
@@ -170,10 +170,10 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = _offsets(r["text"] or b"")
             starts = {a: i for i, (a, _) in enumerate(at)}
             ends = {b: i + 1 for i, (_, b) in enumerate(at)}
-            hit = _covered(len(at), [(starts[s["start"]], ends[s["end"]]) for s in r["spans"]])
+            hit = _covered(len(at), [(starts[s["start"]], ends[s["end"]]) for s in r["spans"] or ()])
             edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
             spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edges[0::2], edges[1::2], strict=True)]
-            out.append({"doc_id": r["doc_id"], "n_words": r["n_words"], "n_hit": int(hit.sum()), "item_ids": r["item_ids"], "spans": spans})
+            out.append({"doc_id": r["doc_id"], "n_words": len(at), "n_hit": int(hit.sum()), "item_ids": r["item_ids"] or [], "spans": spans})
         yield pa.RecordBatch.from_pylist(out, schema=_HITS)
 
 
@@ -198,9 +198,9 @@ def _keeper(items: list[tuple[str, bytes | None]]):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """docs without the contaminated documents, all columns kept; the texts stay where they are."""
-    groups = list(_groups(benchmark, max_bytes)) if common.plan_bytes(benchmark) < max_bytes else None
-    if groups is not None and len(groups) == 1:
-        return docs.mapInArrow(_keeper(groups[0]), docs.schema)
+    n, items = next(_groups(benchmark, max_bytes))
+    if n == 1:
+        return docs.mapInArrow(_keeper(items), docs.schema)
     bad = find_contamination(docs, benchmark, max_bytes).where(is_contaminated()).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
