@@ -15,6 +15,11 @@ so windows are compared through their anchors and nothing is lost. Consecutive w
    gives each window's neighbours without sorting suffixes anew.
 4. Spans are united by document and applied to its text (one join by document).
 
+No prefix gathers an unbounded group. A task that meets very many different records of one prefix (one passage in very
+many surroundings) doesn't send them to the prefix's bucket: it knows that they stay open, and tells the bucket with one
+mark that others of that prefix do too. In step 3 a prefix with more than HOT_GROUP open records takes the longest
+prefix there is, the whole window: each window goes by its own hash, aggregated in its task first.
+
 The hashes have 64 bits for the prefix and 64 more for a record; both must agree.
 """
 
@@ -37,6 +42,10 @@ CHUNK = 1 << 20
 POSITION = np.uint64(CHUNK - 1)
 FLUSH_RECORDS = 400_000
 FLUSH_SYMBOLS = 4 << 20
+#: From so many different records of one prefix in a task's flush, they stay out of that prefix's bucket.
+HOT_CLASSES = 64
+#: Beyond so many open records of one prefix, their windows are dealt one by one.
+HOT_GROUP = 4_096
 U64 = np.uint64
 
 
@@ -108,6 +117,7 @@ def unpack_columns(blob: bytes, dtypes: list) -> list[np.ndarray]:
 
 RECORD = [U64, U64, np.int64, np.int64, np.int64, np.uint16, np.uint16, np.uint8]  # K, H, key, order, start, left, run, many
 SPAN = [np.int64, np.int64, np.int64]  # key, start, stop
+HELD_OPEN = [U64, np.int64, np.int64, np.uint16, np.uint16]  # K, key, start, left, run
 FRAGMENT = [U64, np.int64, np.int64, np.int64, np.uint16, np.uint16, np.int64]  # K, key, order, start, left, run, symbols
 
 
@@ -130,6 +140,8 @@ FOUND = "key long, start long, stop long, kind int, prefix long, left int, run i
 _SPANS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 SPANS = "key long, start long, stop long"
 REMOVED, OPEN = 0, 1
+#: Kinds of cells: records, settled spans, records that stay open, prefixes whose records do; windows and their spans.
+RECORDS, SPANNED, OPENED, MARKED, WINDOWED, WINDOW_SPANS = range(6)
 
 
 # -- 1: records -------------------------------------------------------------------------------------------------------
@@ -169,8 +181,8 @@ def chunk_records(symbols: np.ndarray, ends: np.ndarray, w: Windows) -> tuple[np
 class _Task:
     """The records of one task, aggregated before they leave."""
 
-    def __init__(self, w: Windows, buckets: int):
-        self.w, self.buckets = w, buckets
+    def __init__(self, w: Windows, buckets: int, hot_classes: float = HOT_CLASSES):
+        self.w, self.buckets, self.hot_classes = w, buckets, hot_classes
         self.records: list[tuple[np.ndarray, ...]] = []
         self.pieces: list[np.ndarray] = []
         self.whose: list[tuple[int, int, int]] = []
@@ -216,20 +228,31 @@ class _Task:
         if self.w.first_stays:  # rows of one place in the order are one occurrence
             heads = np.flatnonzero(lead)[group]
             rest &= (order != order[heads]) | (start != start[heads])
-        for b, cell in _cells(_bucket(k[lead], self.buckets), [k[lead], h[lead], key[lead], order[lead], start[lead], left[lead], run[lead], many]):
-            yield b, 0, pack_columns(cell)
         stop = start + run + self.w.length
+        new_k = np.concatenate([[True], k[1:] != k[:-1]])
+        of_k = np.cumsum(new_k) - 1
+        hot = (np.bincount(of_k, weights=lead)[of_k] >= self.hot_classes) & lead
+        send = lead & ~hot
+        if not self.w.first_stays:
+            rest |= hot & (many[group] > 0)
+        for b, cell in _cells(_bucket(k[send], self.buckets), [k[send], h[send], key[send], order[send], start[send], left[send], run[send], many[group[send]]]):
+            yield b, RECORDS, pack_columns(cell)
         for b, cell in _cells(_bucket(mix(key[rest].view(U64)), self.buckets), [key[rest], start[rest], stop[rest]]):
-            yield b, 1, pack_columns(cell)
+            yield b, SPANNED, pack_columns(cell)
+        for b, cell in _cells(_bucket(mix(key[hot].view(U64)), self.buckets), [k[hot], key[hot], start[hot], left[hot], run[hot]]):
+            yield b, OPENED, pack_columns(cell)
+        marks = np.unique(k[hot])
+        for b, cell in _cells(_bucket(marks, self.buckets), [marks]):
+            yield b, MARKED, pack_columns(cell)
 
 
 def _batch(cells: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], f.type) for i, f in enumerate(_CELL)], schema=_CELL)
 
 
-def _recorder(w: Windows, buckets: int):
+def _recorder(w: Windows, buckets: int, hot_classes: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = _Task(w, buckets)
+        task = _Task(w, buckets, hot_classes)
         for batch in batches:
             for key, order, text in zip(*(batch.column(i) for i in range(3)), strict=True):
                 task.add(key.as_py(), order.as_py(), text.as_py() or b"")
@@ -244,7 +267,7 @@ def _recorder(w: Windows, buckets: int):
 # -- 2: buckets -------------------------------------------------------------------------------------------------------
 
 
-def settle(columns: list[np.ndarray], w: Windows) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def settle(columns: list[np.ndarray], w: Windows, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(which records repeat as a whole, which stay open, the sorted columns) of one bucket's records."""
     k, h, key, order, start, left, run, many = columns
     by = np.lexsort((start, order, h, k))
@@ -256,31 +279,45 @@ def settle(columns: list[np.ndarray], w: Windows) -> tuple[np.ndarray, np.ndarra
     new_k = np.concatenate([[True], k[1:] != k[:-1]])
     of_k = np.cumsum(new_k) - 1
     classes = np.bincount(of_k, weights=lead)[of_k]
+    told = np.isin(k, marked) if marked is not None and len(marked) else np.zeros(len(k), bool)
     if w.first_stays:
         whole = ~lead & ((order != order[heads][group]) | (start != start[heads][group]))
-        return whole, lead & (classes > 1), columns
+        return whole, lead & ((classes > 1) | told), columns
     whole = ((np.bincount(group) > 1) | (np.maximum.reduceat(many, heads) > 0))[group]
     single = np.bincount(of_k, weights=~whole)[of_k] > 0  # a prefix without a single record is settled
-    return whole, lead & (classes > 1) & single, columns
+    return whole, lead & ((classes > 1) & single | told), columns
+
+
+def _columns(kinds: list[int], blobs: list[bytes], kind: int, dtypes: list) -> list[np.ndarray] | None:
+    """The cells of one kind, column by column."""
+    parts = [unpack_columns(b, dtypes) for k, b in zip(kinds, blobs, strict=True) if k == kind]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else None
 
 
 def _bucketer(w: Windows):
     def run(table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
-        spans = [unpack_columns(b, SPAN) for kind, b in zip(kinds, blobs, strict=True) if kind == 1]
-        parts = [unpack_columns(b, RECORD) for kind, b in zip(kinds, blobs, strict=True) if kind == 0]
         out = []
-        if spans:
-            key, start, stop = (np.concatenate(c) for c in zip(*spans))
-            out.append((key, start, stop, np.zeros(len(key), np.int32), np.zeros(len(key), np.int64), *(np.zeros(len(key), np.int32),) * 2))
-        if parts:
-            whole, still, c = settle([np.concatenate(c) for c in zip(*parts)], w)
-            k, _, key, _, start, left, run_, _ = c
+
+        def put(kind: int, key, start, stop, k=None, left=None, own_run=None) -> None:
+            zero = np.zeros(len(key), np.int64)
+            columns = (key, start, stop, zero + kind, zero if k is None else k.view(np.int64), zero if left is None else left, zero if own_run is None else own_run)
+            out.append([pa.array(c).cast(f.type) for c, f in zip(columns, _FOUND, strict=True)])
+
+        if spans := _columns(kinds, blobs, SPANNED, SPAN):
+            put(REMOVED, *spans)
+        if held := _columns(kinds, blobs, OPENED, HELD_OPEN):
+            k, key, start, left, own = held
+            put(OPEN, key, start, start + own + w.length, k, left, own)
+        if records := _columns(kinds, blobs, RECORDS, RECORD):
+            marked = _columns(kinds, blobs, MARKED, [U64])
+            whole, still, c = settle(records, w, marked and marked[0])
+            k, _, key, _, start, left, own, _ = c
             for which, kind in ((whole, REMOVED), (still, OPEN)):
-                s = start[which]
-                out.append((key[which], s, s + run_[which] + w.length, np.full(len(s), kind, np.int32), k[which].view(np.int64), left[which].astype(np.int32), run_[which].astype(np.int32)))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 7
-        return pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
+                put(kind, key[which], start[which], start[which] + own[which] + w.length, k[which], left[which], own[which])
+        if not out:
+            return _FOUND.empty_table()
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(c, schema=_FOUND) for c in out])
 
     return run
 
@@ -288,38 +325,79 @@ def _bucketer(w: Windows):
 # -- 3: open records --------------------------------------------------------------------------------------------------
 
 
+def window_hashes(parts: list[np.ndarray], w: Windows) -> np.ndarray:
+    """The hash of each window of each part, of which all together have at most CHUNK symbols."""
+    symbols = np.concatenate(parts)
+    codes = _BYTE_CODES[symbols] if symbols.dtype == np.uint8 else symbols
+    up, down = _powers()
+    sums = np.zeros(len(codes) + 1, U64)
+    np.cumsum(codes * up[: len(codes)], out=sums[1:])
+    sizes = np.array([len(p) for p in parts])
+    at = np.concatenate([np.arange(o, o + n) for o, n in zip(np.cumsum(sizes) - sizes, sizes - w.length + 1, strict=True)])
+    return mix((sums[at + w.length] - sums[at]) * down[at])
+
+
 def _fetcher(w: Windows, buckets: int):
-    """(key, order, text, open records) -> cells of fragments."""
+    """(key, order, text, open records) -> cells of fragments, and of windows for hot prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         parts: list[np.ndarray] = []
-        size = 0
+        hot_rows: list[tuple[int, int, int]] = []
+        hot_parts: list[np.ndarray] = []
+        size = hot_size = 0
+        windows = _Task(w, buckets, float("inf"))
 
         def flush() -> pa.RecordBatch:
             columns = [np.array(c, t) for c, t in zip(zip(*rows), FRAGMENT, strict=True)]
-            bucket = _bucket(columns[0], buckets)
             cells = []
-            for b in np.unique(bucket).tolist():
-                at = np.flatnonzero(bucket == b)
-                own = np.concatenate([parts[i] for i in at])
-                head, body = pack_columns([c[at] for c in columns]), zstandard.ZstdCompressor(level=1).compress(own.tobytes())
-                cells.append((b, 0, len(head).to_bytes(8, "little") + head + body))
+            for b, at in _cells(_bucket(columns[0], buckets), [np.arange(len(rows))]):
+                own = np.concatenate([parts[i] for i in at[0]])
+                head, body = pack_columns([c[at[0]] for c in columns]), zstandard.ZstdCompressor(level=1).compress(own.tobytes())
+                cells.append((b, RECORDS, len(head).to_bytes(8, "little") + head + body))
             return _batch(cells)
 
+        def hashed() -> None:
+            nonlocal hot_rows, hot_parts, hot_size
+            if hot_parts:
+                n = np.array([len(p) for p in hot_parts]) - w.length + 1
+                key, order, start = (np.repeat(c, n) for c in np.array(hot_rows, np.int64).T)
+                start = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
+                h = window_hashes(hot_parts, w)
+                none = np.zeros(len(h), np.uint16)
+                windows.records.append((h, h, key, order, start, none, none))
+                windows.held += len(h)
+            hot_rows, hot_parts, hot_size = [], [], 0
+
+        def dealt(force: bool) -> Iterator[pa.RecordBatch]:
+            if force:
+                hashed()
+            kinds = {RECORDS: WINDOWED, SPANNED: WINDOW_SPANS}
+            if cells := [(b, kinds[kind], blob) for b, kind, blob in windows.flush(force)]:
+                yield _batch(cells)
+
         for batch in batches:
             for key, order, text, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 symbols = w.symbols(text or b"")
                 for r in found:
                     part = symbols[r["start"] : r["start"] + r["run"] + w.length]
-                    rows.append((r["prefix"] & (2**64 - 1), key, order, r["start"], r["left"], r["run"], len(part)))
-                    parts.append(part)
-                    size += len(part) * part.itemsize
+                    if r["hot"]:
+                        if hot_size + len(part) > CHUNK:
+                            hashed()
+                        hot_rows.append((key, order, r["start"]))
+                        hot_parts.append(part)
+                        hot_size += len(part)
+                    else:
+                        rows.append((r["prefix"] & (2**64 - 1), key, order, r["start"], r["left"], r["run"], len(part)))
+                        parts.append(part)
+                        size += len(part) * part.itemsize
                 if size > FLUSH_SYMBOLS:
                     yield flush()
                     rows, parts, size = [], [], 0
+            yield from dealt(False)
         if rows:
             yield flush()
+        yield from dealt(True)
 
     return run
 
@@ -421,10 +499,19 @@ def _spans_of(f: Fragments, rows: np.ndarray, at: np.ndarray, w: Windows) -> tup
 
 def _merger(w: Windows, merge: Callable[[list[Fragments], Windows], tuple]):
     def run(table: pa.Table) -> pa.Table:
-        parts = Fragments.unpack(table.column("blob").to_pylist(), w)
-        f, rows, block, common_right = merge(parts, w)
-        spans = _spans_of(f, *extend_left(f, rows, block, common_right, w), w)
-        return pa.Table.from_arrays([pa.array(c) for c in spans], schema=_SPANS)
+        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        out = []
+        if parts := Fragments.unpack([b for k, b in zip(kinds, blobs, strict=True) if k == RECORDS], w):
+            f, rows, block, common_right = merge(parts, w)
+            out.append(_spans_of(f, *extend_left(f, rows, block, common_right, w), w))
+        if spans := _columns(kinds, blobs, WINDOW_SPANS, SPAN):
+            out.append(spans)
+        if records := _columns(kinds, blobs, WINDOWED, RECORD):
+            whole, _, c = settle(records, w)
+            out.append((c[2][whole], c[4][whole], c[4][whole] + w.length))
+        if not out:
+            return _SPANS.empty_table()
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_SPANS)
 
     return run
 
@@ -443,12 +530,18 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return d.select(key.alias("key"), F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("ord"), "doc_id", "text")
 
 
-def repeated_spans(texts: DataFrame, w: Windows, merge: Callable[[list[Fragments], Windows], tuple]) -> DataFrame:
+def repeated_spans(
+    texts: DataFrame, w: Windows, merge: Callable[[list[Fragments], Windows], tuple], hot_classes: int = HOT_CLASSES, hot_group: int = HOT_GROUP
+) -> DataFrame:
     """SPANS of texts (key, ord, text) that repeated windows cover; spans may overlap."""
     buckets = common.partitions_for(texts, 16 << 20)
-    cells = texts.select("key", "ord", "text").mapInArrow(_recorder(w, buckets), CELL)
+    cells = texts.select("key", "ord", "text").mapInArrow(_recorder(w, buckets, hot_classes), CELL)
     found = common.materialize(cells.groupBy("bucket").applyInArrow(_bucketer(w), FOUND), "found")
-    still = found.where(F.col("kind") == OPEN).groupBy("key").agg(F.collect_list(F.struct("start", "left", "run", "prefix")).alias("found"))
+    opened = found.where(F.col("kind") == OPEN)
+    # few rows, stored: the join below broadcasts them or, if they are many, splits hot keys
+    hot = common.materialize(opened.groupBy("prefix").count().where(F.col("count") > hot_group).select("prefix", F.lit(True).alias("hot")), "hot")
+    each = opened.join(hot, "prefix", "left").select("key", F.struct("start", "left", "run", "prefix", F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"))
+    still = each.groupBy("key").agg(F.collect_set("r").alias("found"))
     fetched = texts.select("key", "ord", "text").join(still, "key").select("key", "ord", "text", "found")
     fragments = fetched.mapInArrow(_fetcher(w, buckets), CELL)
     merged = fragments.groupBy("bucket").applyInArrow(_merger(w, merge), SPANS)
@@ -457,7 +550,7 @@ def repeated_spans(texts: DataFrame, w: Windows, merge: Callable[[list[Fragments
 
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, spans) of each row of texts."""
-    per = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    per = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return texts.join(per, "key", "left").select("doc_id", "text", "spans")
 
 

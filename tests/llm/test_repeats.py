@@ -142,3 +142,16 @@ def test_common_prefixes_equal_direct_comparison():
         a, b = strings[order[i - 1]], strings[order[i]]
         n = next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert shared[i] == (n if block[i] == block[i - 1] else 0)
+
+
+@pytest.mark.parametrize("hot_classes, hot_group", [(1, 0), (2, 1), (3, 10**9), (10**9, 2)])
+def test_hot_prefixes_give_the_same(spark, hot_classes, hot_group):
+    rows = rows_of(31)
+    rows += [(f"{i} {i * i} left " + "shared passage of words that many rows hold in common " * 2 + f"right {i * 7} {i}", 5000 + i) for i in range(40)]
+    df = spark.createDataFrame([(t, d, "x", 1) for t, d in rows], SCHEMA).repartition(3)
+    texts = rp.keyed_texts(df)
+    for module, size, brute, columns in ((sst, 6, brute_words, 4), (bd, 20, brute_bytes, 5)):
+        spans = rp.repeated_spans(texts, module.windows(size), {sst: sst.subtrees, bd: bd.interleave}[module], hot_classes, hot_group)
+        schema = module.CUT.rpartition(", kept ")[0]
+        got = rp.with_spans(texts, spans).mapInArrow(module._cutter(False), schema).collect()
+        assert sorted((tuple(r)[:columns] for r in got), key=key) == sorted(brute(rows, size), key=key)
