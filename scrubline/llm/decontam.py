@@ -5,8 +5,8 @@ consecutive words of an item; an item of fewer words (but not none) is one windo
 numbers, so matches start and end at words; a match's word positions map back to code-point offsets in the text.
 
 The automaton is broadcast only while the benchmark holds at most MAX_ITEM_BYTES; a larger benchmark is dealt into
-groups of that size, each of which scans the documents once, and the hits are united per document. Nothing else is
-shuffled: each text stays in its task, and one document's hits never meet those of another.
+groups of that size, each of which scans the documents once; rows are numbered and stored first, and the hits are united
+by that number. Nothing else is shuffled, and one row's hits never meet those of another.
 
 Defined results: null or empty texts have no words and no hits; a null item_id counts as the string ``null``; rows
 with equal item_id are one item; an empty benchmark hits nothing; repeated documents are judged one by one; columns
@@ -15,6 +15,7 @@ other than those named are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -103,9 +104,12 @@ _HITS = pa.schema(
     ]
 )
 HITS = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
+#: The same of a numbered row.
+_ROW_HITS = pa.schema([("_row", pa.int64()), *list(_HITS)[1:]])
+ROW_HITS = HITS.replace("doc_id", "_row", 1)
 
 
-def _scanner(items: list[tuple[str, bytes | None]]):
+def _scanner(items: list[tuple[str, bytes | None]], schema: pa.Schema = _HITS):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items)
         for batch in batches:
@@ -125,7 +129,7 @@ def _scanner(items: list[tuple[str, bytes | None]]):
                 out[2].append(n_hit)
                 out[3].append(sorted({i for h in hits for i in h[2]}))
                 out[4].append(spans)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _HITS, strict=True)], schema=_HITS)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
 
     return scan
 
@@ -142,25 +146,36 @@ def _groups(benchmark: DataFrame, max_bytes: int) -> Iterator[tuple[int, list[tu
         yield n, [(r.item_id, bytes(r.text) if r.text is not None else None) for r in part.collect()]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """One row for each row of docs: HITS. spans: code-point offsets of the maximal hit runs, end exclusive.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs, stored, with _row, a number that tells rows apart whatever their ids."""
+    return common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
 
-    With more than one group of items the rows are united by doc_id, which then must tell documents apart.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+def _row_hits(rows: DataFrame, groups: Iterator[list[tuple[str, bytes | None]]]) -> DataFrame:
+    """ROW_HITS, one row for each of the stored rows (_row, text), over all groups of items."""
+    texts = rows.select("_row", F.col("text").cast("binary").alias("text"))
     found = None
-    for n, items in _groups(benchmark, max_bytes):
-        scan = texts.mapInArrow(_scanner(items), HITS)
-        if n == 1:
-            return scan
-        hits = common.materialize(scan.where("n_hit > 0"), "hits")  # one group is held at a time
+    for items in groups:
+        hits = common.materialize(texts.mapInArrow(_scanner(items, _ROW_HITS), ROW_HITS).where("n_hit > 0"), "hits")  # one group is held at a time
         found = hits if found is None else found.unionAll(hits)
-    runs = found.groupBy("doc_id").agg(
+    runs = found.groupBy("_row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     )
-    keyed = texts.join(runs, texts.doc_id.eqNullSafe(runs.doc_id), "left").select(texts.doc_id, "item_ids", "spans", "text")
-    return keyed.mapInArrow(_unite, HITS)
+    keyed = texts.join(runs, "_row", "left").select("_row", "item_ids", "spans", "text")
+    return keyed.mapInArrow(_unite, ROW_HITS)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """One row for each row of docs: HITS. spans: code-point offsets of the maximal hit runs, end exclusive."""
+    groups = _groups(benchmark, max_bytes)
+    n, items = next(groups)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if n == 1:
+        return texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(_scanner(items), HITS)
+    rows = _numbered(texts)
+    found = _row_hits(rows, itertools.chain([items], (i for _, i in groups)))
+    return rows.select("_row", "doc_id").join(found, "_row").select(_HITS.names)
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +188,8 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hit = _covered(len(at), [(starts[s["start"]], ends[s["end"]]) for s in r["spans"] or ()])
             edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
             spans = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in zip(edges[0::2], edges[1::2], strict=True)]
-            out.append({"doc_id": r["doc_id"], "n_words": len(at), "n_hit": int(hit.sum()), "item_ids": r["item_ids"] or [], "spans": spans})
-        yield pa.RecordBatch.from_pylist(out, schema=_HITS)
+            out.append({"_row": r["_row"], "n_words": len(at), "n_hit": int(hit.sum()), "item_ids": r["item_ids"] or [], "spans": spans})
+        yield pa.RecordBatch.from_pylist(out, schema=_ROW_HITS)
 
 
 def is_contaminated(n_hit="n_hit", n_words="n_words"):
@@ -197,12 +212,14 @@ def _keeper(items: list[tuple[str, bytes | None]]):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """docs without the contaminated documents, all columns kept; the texts stay where they are."""
-    n, items = next(_groups(benchmark, max_bytes))
+    """docs without the contaminated rows, all columns kept; up to max_bytes of items the texts stay where they are."""
+    groups = _groups(benchmark, max_bytes)
+    n, items = next(groups)
     if n == 1:
         return docs.mapInArrow(_keeper(items), docs.schema)
-    bad = find_contamination(docs, benchmark, max_bytes).where(is_contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    rows = _numbered(docs)
+    bad = _row_hits(rows, itertools.chain([items], (i for _, i in groups))).where(is_contaminated()).select("_row")
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -69,6 +69,17 @@ def test_more_groups_than_one_give_the_same(spark):
     assert sorted(r.doc_id for r in dc.drop_contaminated(d, b).collect()) == sorted(r.doc_id for r in dc.drop_contaminated(d, b, 60).collect())
 
 
+def test_groups_judge_rows_with_null_and_repeated_ids_one_by_one(spark):
+    _, _, b = frames(spark, ITEMS)
+    d = spark.createDataFrame([(t, i, 7, "x") for t in TEXTS for i in (None, 1)] + [(TEXTS[3], 1, 7, "x")], DOCS)
+    key = lambda rows: sorted(map(repr, map(tuple, rows)))
+    cols = ["doc_id", "n_words", "n_hit", "item_ids", "spans"]
+    one = key(dc.find_contamination(d, b).select(cols).collect())
+    assert one == key(dc.find_contamination(d, b, 60).select(cols).collect())
+    kept = key(dc.drop_contaminated(d, b).collect())
+    assert 0 < len(kept) < d.count() and kept == key(dc.drop_contaminated(d, b, 60).collect())
+
+
 def test_spans_are_offsets_in_the_original(spark):
     d = spark.createDataFrame([("é! Short  É\nitem. ", 1)], "text string, doc_id long")
     b = spark.createDataFrame([(2, "short É item")], "item_id long, text string")
