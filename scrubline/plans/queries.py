@@ -312,6 +312,29 @@ def md_full(spark, sf_dir):
     return c.select("conv_id", "turn", markdown.strip_markdown(t).alias("c")).select("conv_id", "turn", F.md5("c.text").alias("digest"), F.col("c.MARKDOWN").alias("n"))
 
 
+def _whole(spark: SparkSession, sf_dir: str, before: str, after: str) -> DataFrame:
+    """Every conversation row, its whole text between planted Markdown, stripped."""
+    t = F.concat(F.lit(before), F.coalesce("text", F.lit("")), F.lit(after))
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", markdown.strip_markdown(t).alias("c"))
+    return c.select("conv_id", "turn", F.md5("c.text").alias("digest"), F.col("c.MARKDOWN").cast("long").alias("n"))
+
+
+MD_LINES = "\n## w ##\n> w\n- [x] w\n- [ ] w\n  * w\n| a |w |\n<https://e.example/w>\n`w` ``y``\n\\*w\\_\n|---|:--:|\n* * *\nw\n----"
+MD_FENCE = "\n```py\n**kept**\n# kept\n```\n* item\n~~~\n> kept"
+
+
+@query()
+def md_lines_whole(spark, sf_dir):
+    """md_lines' rules on whole texts of all rows; tests hold it against a stripper that goes line by line."""
+    return _whole(spark, sf_dir, "", MD_LINES)
+
+
+@query()
+def md_fences_whole(spark, sf_dir):
+    """md_fences' rules on whole texts of all rows, those with newlines and Markdown included; the last fence stays open."""
+    return _whole(spark, sf_dir, "# ", MD_FENCE)
+
+
 # -- provenance vocabularies --------------------------------------------------------------------------------------------
 
 PHRASES = ("made with Midjourney", "DALL·E 3 by OpenAI", "trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "Negative prompt: x", "Stable-Diffusion XL", "gemini nano_banana", "geminis")
