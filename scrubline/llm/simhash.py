@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from scrubline.llm import common
 from scrubline.llm.components import components
@@ -125,14 +125,13 @@ def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without all but one of each near-duplicate component: the row with the smallest doc_id stays (among equal
+    """docs without all but one row of each near-duplicate component: the row with the smallest doc_id stays (among equal
     ids the one with the smallest hash of text). A row without doc_id can't be told apart and always stays."""
-    found = near_duplicates(docs)
-    survivors = found.where("doc_id is not null").groupBy("component_id").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    chosen = docs.join(survivors, docs.doc_id == survivors["_kept"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    first = chosen.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(docs.columns)
-    return first.unionAll(docs.where("doc_id is null"))
+    from scrubline.llm.minhash import first_of_each, numbered  # which imports this module
+
+    rows = common.materialize(numbered(docs), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))  # components are named by rows, not ids
+    return first_of_each(rows, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")), docs.columns)
 
 
 def op1_simhash_grid(spark, sf_dir: str) -> DataFrame:

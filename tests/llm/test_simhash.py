@@ -136,3 +136,11 @@ def test_query_columns_on_the_documents(spark):
         lows[k] = min(lows.get(k, r.doc_id), r.doc_id)
     assert all(r.component_id == lows[root[int(r.fingerprint, 16)]] for r in rows)
     assert got.where(F.length("fingerprint") != 16).count() == 0
+
+
+def test_one_row_of_each_component_stays_though_ids_repeat_over_texts(spark):
+    rng = random.Random(2)
+    x, y, z = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100)) for _ in range(3))
+    rows = [(1, x), (2, x), (2, y), (2, z), (3, z)]
+    kept = sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(1, x), (2, y), (2, z)])
