@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII white space: what separates words everywhere in this subpackage (bytes.split() uses the same set).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -59,6 +59,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_row, doc): a number that tells rows apart whatever their ids, and all columns of docs in a struct, where their
+    names clash with none. It must be stored before it is used twice."""
+    return docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan; used for partition counts only, never for results."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -4,8 +4,8 @@ Texts are lower-cased in A-Z and split into words of digits, letters and non-ASC
 consecutive words of an item; an item of fewer words (but not none) is one window. The automaton runs over word
 numbers, so matches start and end at words; a match's word positions map back to code-point offsets in the text.
 
-The automaton is broadcast only while the benchmark holds at most MAX_ITEM_BYTES; a larger benchmark is dealt into
-groups of that size, each of which scans the documents once; rows are numbered and stored first, and the hits are united
+The benchmark is broadcast only while it holds at most MAX_ITEM_BYTES, and each worker process builds its automaton
+once; a larger benchmark is dealt into groups of that size, each of which scans the documents once; rows are numbered and stored first, and the hits are united
 by that number. Nothing else is shuffled, and one row's hits never meet those of another.
 
 Defined results: null or empty texts have no words and no hits; a null item_id counts as the string ``null``; rows
@@ -15,15 +15,16 @@ other than those named are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scrubline.llm import common
+from scrubline.llm import common, worker
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton.
@@ -77,6 +78,13 @@ class Matcher:
         return [(end + 1 - n, end + 1, ids) for end, (n, ids) in self.automaton.iter(numbers)]
 
 
+def _matcher(spark: SparkSession, items: list[tuple[str, bytes | None]]) -> Callable[[], Matcher]:
+    """Gives a task its worker's automaton: the items are broadcast once, and built into an automaton once per worker."""
+    name = hashlib.sha256(repr(items).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast(items)
+    return lambda: worker.held(("matcher", name), lambda: Matcher(shared.value))
+
+
 def _covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     steps = np.zeros(n + 1, np.int32)
     for a, b in spans:
@@ -109,9 +117,11 @@ _ROW_HITS = pa.schema([("_row", pa.int64()), *list(_HITS)[1:]])
 ROW_HITS = HITS.replace("doc_id", "_row", 1)
 
 
-def _scanner(items: list[tuple[str, bytes | None]], schema: pa.Schema = _HITS):
+def _scanner(spark: SparkSession, items: list[tuple[str, bytes | None]], schema: pa.Schema = _HITS):
+    own = _matcher(spark, items)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items)
+        matcher = own()
         for batch in batches:
             out: list[list] = [batch.column(0).to_pylist(), [], [], [], []]
             for text in batch.column(1):
@@ -146,17 +156,12 @@ def _groups(benchmark: DataFrame, max_bytes: int) -> Iterator[tuple[int, list[tu
         yield n, [(r.item_id, bytes(r.text) if r.text is not None else None) for r in part.collect()]
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs, stored, with _row, a number that tells rows apart whatever their ids."""
-    return common.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-
 def _row_hits(rows: DataFrame, groups: Iterator[list[tuple[str, bytes | None]]]) -> DataFrame:
-    """ROW_HITS, one row for each of the stored rows (_row, text), over all groups of items."""
-    texts = rows.select("_row", F.col("text").cast("binary").alias("text"))
+    """ROW_HITS, one row for each of the stored rows (_row, doc), over all groups of items."""
+    texts = rows.select("_row", F.col("doc.text").cast("binary").alias("text"))
     found = None
     for items in groups:
-        hits = common.materialize(texts.mapInArrow(_scanner(items, _ROW_HITS), ROW_HITS).where("n_hit > 0"), "hits")  # one group is held at a time
+        hits = common.materialize(texts.mapInArrow(_scanner(rows.sparkSession, items, _ROW_HITS), ROW_HITS).where("n_hit > 0"), "hits")  # one group is held at a time
         found = hits if found is None else found.unionAll(hits)
     runs = found.groupBy("_row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
@@ -172,10 +177,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = M
     n, items = next(groups)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if n == 1:
-        return texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(_scanner(items), HITS)
-    rows = _numbered(texts)
+        return texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(_scanner(docs.sparkSession, items), HITS)
+    rows = common.materialize(common.numbered(texts), "numbered")
     found = _row_hits(rows, itertools.chain([items], (i for _, i in groups)))
-    return rows.select("_row", "doc_id").join(found, "_row").select(_HITS.names)
+    return rows.select("_row", "doc.doc_id").join(found, "_row").select(_HITS.names)
 
 
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +201,11 @@ def is_contaminated(n_hit="n_hit", n_words="n_words"):
     return (F.col(n_hit) > 0) & (F.lit(HIT_SHARE) * F.col(n_hit) >= F.col(n_words))
 
 
-def _keeper(items: list[tuple[str, bytes | None]]):
+def _keeper(spark: SparkSession, items: list[tuple[str, bytes | None]]):
+    own = _matcher(spark, items)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items)
+        matcher = own()
         for batch in batches:
             kept = []
             for text in batch.column(batch.schema.get_field_index("text")):
@@ -216,10 +223,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MA
     groups = _groups(benchmark, max_bytes)
     n, items = next(groups)
     if n == 1:
-        return docs.mapInArrow(_keeper(items), docs.schema)
-    rows = _numbered(docs)
+        return docs.mapInArrow(_keeper(docs.sparkSession, items), docs.schema)
+    rows = common.materialize(common.numbered(docs), "numbered")
     bad = _row_hits(rows, itertools.chain([items], (i for _, i in groups))).where(is_contaminated()).select("_row")
-    return rows.join(bad, "_row", "left_anti").select(docs.columns)
+    return rows.join(bad, "_row", "left_anti").select("doc.*")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -234,8 +241,6 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     )
 
 
-
-
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -1,7 +1,7 @@
 """Encoding with public tokenizers, memoised by word.
 
 Both vocabularies cut a text at white space before anything else, so a text's ids are those of its words in order.
-Distinct words go through the tokenizers library; the first MEMO_WORDS of them stay in a dictionary that a worker
+Distinct words go through the tokenizers library; the first ``memo_words`` of them stay in a dictionary that a worker
 process keeps from task to task (frequent words come early; the dictionary starts anew when too many words miss it).
 A word that misses is cut where the vocabulary's own pattern cuts it, and its parts are looked up likewise.
 Ids are kept as little-endian 32-bit numbers, so a text is encoded by joining bytes. A text where that cut could
@@ -14,12 +14,12 @@ import array
 import os
 import re
 import sys
-from functools import lru_cache
 
 import numpy as np
 import regex
 
-MEMO_WORDS, MEMO_PARTS = 1_200_000, 400_000  # about 300 MB a worker process at most
+from scrubline.llm import worker
+
 #: Shares of misses, and the words they are counted over, at which the dictionary starts anew.
 STALE_SHARE, STALE_OVER = 0.3, 1_000_000
 _BESIDE_BLANK = re.compile(r" \s|\s ")
@@ -45,6 +45,9 @@ def pack(ids) -> bytes:
 
 
 class _Encoder:
+    #: Words and parts of words kept; about 200 bytes each.
+    memo_words, memo_parts = 1_200_000, 400_000
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
@@ -81,7 +84,7 @@ class _Encoder:
         cuts = [self._cut(w) for w in words]
         new = list({p for c in cuts for p in c if p not in self.parts})
         now = self._each(new) if new else {}
-        if len(self.parts) < MEMO_PARTS:
+        if len(self.parts) < self.memo_parts:
             self.parts.update(now)
             now = self.parts
         else:
@@ -102,7 +105,7 @@ class _Encoder:
             now = dict(zip(new, self._missing([self._spell(w) for w in new]), strict=True))
             for k in gaps:
                 found[k] = now[words[k]]
-            if len(self.memo) < MEMO_WORDS:
+            if len(self.memo) < self.memo_words:
                 self.memo.update(now)
             self.missed += len(gaps)
         if self.asked > STALE_OVER:
@@ -151,6 +154,7 @@ class WordEncoder(_Encoder):
     """Vocabularies of word ends that drop white space. Only ASCII white space cuts here; the library cuts the rest."""
 
     MARK, BETWEEN = "\x00", " \x00 "
+    memo_words, memo_parts = 350_000, 120_000  # more of them hardly saves time
     #: The vocabulary's own pattern, for lower case. Fixed value.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     #: Characters that normalisation changes in case only.
@@ -167,7 +171,6 @@ class WordEncoder(_Encoder):
         return self._join(text.encode().split()) if text else b""
 
 
-@lru_cache(maxsize=4)
 def encoder(kind: type, path: str) -> _Encoder:
     """This process's encoder of a vocabulary file."""
-    return kind(path)
+    return worker.held((kind.__name__, path), lambda: kind(path))

@@ -34,6 +34,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from scrubline.llm import worker
+
 ROUNDS = 8
 #: Demonstration key; deployments pass their own.
 DEFAULT_KEY = b"scrubline-demonstration-key"
@@ -262,7 +264,7 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """docs with rewritten text; all columns and rows are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite = Rewriter(key)
+        rewrite = worker.held(("pseudonyms", key), lambda: Rewriter(key))
         for batch in batches:
             at = batch.schema.get_field_index("text")
             field = batch.schema.field(at)
@@ -279,7 +281,7 @@ def pseudonymize_report(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """(doc_id, rewritten text, findings by kind) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rewrite = Rewriter(key)
+        rewrite = worker.held(("pseudonyms", key), lambda: Rewriter(key))
         for batch in batches:
             rows = []
             for d, t in zip(batch.column(0), batch.column(1), strict=True):

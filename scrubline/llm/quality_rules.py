@@ -24,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-MEMO_WORDS = 300_000
+from scrubline.llm import worker
+
+MEMO_WORDS = 150_000
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 
@@ -180,7 +182,7 @@ def measure(docs: DataFrame, rules: Rules) -> DataFrame:
     """One row of MEASURES for each row of docs (doc_id, text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(rules)
+        judge = worker.held(("judge", repr(rules)), lambda: Judge(rules))
         for batch in batches:
             rows = [
                 {"doc_id": d.as_py()} | judge(t.as_py(), g.as_py())
@@ -196,7 +198,7 @@ def keep(docs: DataFrame, rules: Rules) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(rules)
+        judge = worker.held(("judge", repr(rules)), lambda: Judge(rules))
         for batch in batches:
             text, lang = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "lang"))
             yield batch.filter(pa.array([judge((t.as_py() or "").encode(), g.as_py())["kept"] for t, g in zip(text, lang, strict=True)], pa.bool_()))

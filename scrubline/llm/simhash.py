@@ -127,11 +127,11 @@ def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each near-duplicate component: the row with the smallest doc_id stays (among equal
     ids the one with the smallest hash of text). A row without doc_id can't be told apart and always stays."""
-    from scrubline.llm.minhash import first_of_each, numbered  # which imports this module
+    from scrubline.llm.minhash import first_of_each  # which imports this module
 
-    rows = common.materialize(numbered(docs), "rows")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"))  # components are named by rows, not ids
-    return first_of_each(rows, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")), docs.columns)
+    rows = common.materialize(common.numbered(docs), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "doc.text"))  # components are named by rows, not ids
+    return first_of_each(rows, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")))
 
 
 def op1_simhash_grid(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from scrubline.llm import minhash as mh
+from scrubline.llm import minhash as mh, simhash
 
 
 def shingles(text):
@@ -82,3 +83,37 @@ def test_the_stage_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == brute_keep(rows)
     assert mh.keep_one(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_are_handed_on(spark):
+    rows = [(1, "a b c d e f", 7, 8, "x", None), (2, "A b c d e f", 9, 8, "y", "n"), (3, None, 1, 1, None, None), (4, "", 2, 2, None, None), (5, "other", 3, 3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row int, _node int, _keys string, `a.doc` string")
+    for got in (mh.keep_one(df), simhash.keep_one(df)):
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == [rows[0], rows[2], rows[4]]
+
+
+def test_a_crowd_gives_links_and_no_pairs(spark, monkeypatch):
+    """Copies at many distances of one text, and crowds inside the crowd; blocks are small, so that there are many."""
+    monkeypatch.setattr(mh, "BLOCK", 16)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    bases = [base, *([word() if rng.random() < 0.05 else w for w in base] for _ in range(4))]
+    rows = []
+    for i in range(400):
+        copy = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in mh.keep_one(df, cell_limit=8).collect()) == brute_keep(rows)
+
+
+def test_counts_of_blocks_equal_sets():
+    rng = random.Random(4)
+    pools = [list(range(30)), list(range(20, 4000))]
+    some = lambda: np.unique(np.array(rng.sample(pools[0], rng.randint(0, 25)) + rng.sample(pools[1], rng.randint(0, 40)), np.uint64))
+    left, right = [some() for _ in range(40)], [some() for _ in range(30)] + [np.zeros(0, np.uint64)]
+    for a, b in ((left, right), (left, []), ([], right)):
+        assert mh.shared_counts(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]

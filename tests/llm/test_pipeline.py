@@ -8,8 +8,8 @@ import corpus_pipeline
 from scrubline.llm import packing, pii, quality_rules as qr
 
 from .test_decontam import brute as brute_contamination
+from .test_minhash import brute_keep
 from .test_quality_rules import brute as brute_base
-from .test_simhash import brute_components, brute_print
 
 DATA = "/root/testdata/sf0.001"
 
@@ -19,11 +19,7 @@ def test_run_equals_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
     judge = qr.Judge(qr.production_rules())
     kept = {d: r.text for d, r in docs.items() if not brute_base(r.text)[5] and judge(r.text.encode(), r.lang)["kept"]}
-    prints = {d: brute_print(t) for d, t in kept.items()}
-    root, lows = brute_components(list(prints.values())), defaultdict(list)
-    for d, p in prints.items():
-        lows[root[p]].append(d)
-    kept = {d: kept[d] for d in (min(v) for v in lows.values())}
+    kept = {d: kept[d] for d in brute_keep(list(kept.items()))}
     bad = brute_contamination(list(kept.items()), items)
     rewrite = pii.Rewriter(pii.DEFAULT_KEY)
     kept = {d: rewrite(t)[0] for d, t in kept.items() if not bad[d][3]}
