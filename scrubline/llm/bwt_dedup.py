@@ -1,12 +1,16 @@
 """Byte repeats by merging shard Burrows-Wheeler transforms.
 
-Each map task is a shard: it sends its suffixes at anchors (see ``repeats``) to the bucket of their prefix, each with
-the symbols before it, which is what a Burrows-Wheeler transform keeps of a suffix. A bucket merges the shards: first
-the interleaving of the shards' suffixes is one block per prefix, shard after shard; each round refines it by the next
-eight bytes, a stable partition of the blocks that still have more than one suffix, and where a block splits, the
-length of the common prefix is known. No suffix is compared with another as a whole, and finished blocks take no part in
-later rounds. Then the order is carried to longer suffixes by the transform's own step (the symbol before, stably), common
-prefixes by range minima; neighbours that share ``MIN_BYTES`` bytes are repeats, and those intervals are the result.
+Each fetching task is a shard. It sorts its suffixes at anchors (see ``repeats``) once and sends them in that order, each
+with the symbols before it, which is what a Burrows-Wheeler transform keeps of a suffix. A bucket merges the shards by
+refining an interleave: the vector that names, place by place, the shard that the next suffix comes from. Within its
+shard a suffix is the next in order, so the vector alone says who stands where. It starts with one block per prefix,
+shard after shard; each round partitions the blocks stably by the next eight bytes, which are ascending within a shard,
+and where a block parts the length of the common prefix is known. No shard is sorted again and no suffix is compared as a
+whole; a block of one suffix takes no part in later rounds, and rounds end when nothing can part any more.
+
+Then the order is carried to longer suffixes by the transform's own step (the symbol before, stably), common prefixes by
+range minima; intervals of places that share ``MIN_BYTES`` bytes are the repeats, and a suffix that stands for several
+equal records is a repeat by itself.
 
 Defined results: a null text is empty; a text shorter than MIN_BYTES has no repeats; rows with equal doc_id and equal
 text get equal results and repeat each other; a null doc_id is a document like any other; an empty table gives no
@@ -44,40 +48,54 @@ def _eight(f: Fragments, at: np.ndarray, end: np.ndarray) -> np.ndarray:
     return value
 
 
-def interleave(shards: list[Fragments], w: Windows) -> tuple[Fragments, np.ndarray, np.ndarray, np.ndarray]:
-    """The merged order of all suffixes: (fragments, rows, block by prefix, bytes shared with the row before)."""
+def _rows_of(interleave: np.ndarray) -> np.ndarray:
+    """The row at each place, rows being numbered shard by shard: each shard's suffixes come in their order."""
+    rows = np.empty(len(interleave), np.int64)
+    rows[np.argsort(interleave, kind="stable")] = np.arange(len(interleave))
+    return rows
+
+
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many leading bytes of eight are equal; differ: the exclusive or of two big-endian numbers, never zero."""
+    high = (differ >> np.uint64(32)).astype(np.float64)
+    low = (differ & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    bits = np.where(high > 0, 31 - np.floor(np.log2(np.maximum(high, 1))), 63 - np.floor(np.log2(np.maximum(low, 1))))
+    return bits.astype(np.int64) // 8
+
+
+def merge_shards(shards: list[Fragments], w: Windows) -> tuple[Fragments, np.ndarray, np.ndarray, np.ndarray]:
+    """The merged order of all suffixes of sorted shards: (fragments, rows, block by prefix, bytes shared with the row before)."""
     f = Fragments.join(shards)
+    shard = np.repeat(np.arange(len(shards)), [len(x.key) for x in shards])
     begin = f.offset + f.left + w.prefix
     end = f.offset + f.size
-    rows = np.argsort(f.prefix, kind="stable")  # blocks by prefix; in each, the shards one after the other
-    block = np.cumsum(np.concatenate([[False], np.diff(f.prefix[rows]) != 0]))
+    first = np.argsort(f.prefix, kind="stable")  # a merge of sorted runs: blocks by prefix, in each one shard after the other
+    interleave = shard[first]
+    block = np.cumsum(np.concatenate([[False], np.diff(f.prefix[first]) != 0]))
     fine = block.copy()
     shared = np.where(np.concatenate([[False], np.diff(block) == 0]), -1, 0).astype(np.int64)
-    h = 0
-    live = np.flatnonzero(np.bincount(fine)[fine] > 1)
-    while len(live):
-        own = rows[live]
-        word = _eight(f, begin[own] + WORD * h, end[own])
-        by = np.lexsort((word, fine[live]))  # stable: equal words keep the interleaving so far
-        rows[live], word = own[by], word[by]
+    length = end - begin
+    at = 0
+    while True:
+        rows = _rows_of(interleave)
+        starts = np.concatenate([[True], np.diff(fine) != 0]) if len(fine) else np.zeros(0, bool)
+        longest = np.maximum.reduceat(length[rows], np.flatnonzero(starts)) if len(fine) else length
+        live = np.flatnonzero((np.bincount(fine)[fine] > 1) & (longest[fine] > at)) if len(fine) else np.zeros(0, np.int64)
+        if not len(live):
+            break
+        word = _eight(f, begin[rows[live]] + at, end[rows[live]])
+        by = np.lexsort((word, fine[live]))  # stable: a shard's suffixes stay in their order
+        interleave[live], word = interleave[live][by], word[by]
         inside = np.concatenate([[False], np.diff(fine[live]) == 0])
-        split = inside & np.concatenate([[False], word[1:] != word[:-1]])
-        k = np.flatnonzero(split)
-        differ = word[k] ^ word[k - 1]
-        zeros = (63 - np.floor(np.log2((differ >> np.uint64(32)).astype(np.float64), where=differ >> np.uint64(32) > 0, out=np.zeros(len(k)))) - 32).astype(np.int64)
-        low = (differ & np.uint64(0xFFFFFFFF)).astype(np.float64)
-        zeros = np.where(differ >> np.uint64(32) > 0, zeros, 63 - np.floor(np.log2(low, where=low > 0, out=np.zeros(len(k)))).astype(np.int64))
-        shared[live[k]] = w.prefix + WORD * h + zeros // 8
-        starts = np.ones(len(fine), bool)
-        starts[1:] = fine[1:] != fine[:-1]
+        k = np.flatnonzero(inside & np.concatenate([[False], word[1:] != word[:-1]]))
+        shared[live[k]] = w.prefix + at + _equal_bytes(word[k] ^ word[k - 1])
         starts[live[k]] = True
         fine = np.cumsum(starts) - 1
-        h += 1
-        more = np.maximum.reduceat((end - begin)[rows], np.flatnonzero(starts)) > WORD * h
-        live = np.flatnonzero((np.bincount(fine)[fine] > 1) & more[fine])
-    tail = np.lexsort(((end - begin)[rows], fine))  # equal so far: a suffix before its extensions
-    rows = rows[tail]
-    size = (end - begin)[rows] + w.prefix
+        at += WORD
+    by = np.lexsort((length[rows], fine))  # equal to the end of the shorter one, which stands first and shares all of it
+    interleave = interleave[by]
+    rows = _rows_of(interleave)
+    size = length[rows] + w.prefix
     least = np.minimum(size, np.concatenate([size[:1], size[:-1]]))
     shared = np.where(shared < 0, least, np.minimum(shared, least))
     return f, rows, block, shared
@@ -86,7 +104,7 @@ def interleave(shards: list[Fragments], w: Windows) -> tuple[Fragments, np.ndarr
 def repeated_bytes(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(doc_id, text, spans) of each row of docs: the byte spans that repeated strings cover, which may overlap."""
     texts = repeats.keyed_texts(docs)
-    return repeats.with_spans(texts, repeats.repeated_spans(texts, windows(min_bytes), interleave))
+    return repeats.with_spans(texts, repeats.repeated_spans(texts, windows(min_bytes), merge_shards))
 
 
 _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])

@@ -4,20 +4,22 @@ Only suffixes at content-chosen anchors are handled (a sparse suffix set). A win
 the ``width`` grams at its start the smallest by hash is its anchor. Equal windows have equal anchors at equal offsets,
 so windows are compared through their anchors and nothing is lost. Consecutive windows of one anchor form a record.
 
-1. Map: each task hashes its documents and turns them into records, sorted by the prefix that all windows of an anchor
-   share (``length - width + 1`` symbols from the anchor on). Records that are equal throughout are aggregated before
-   they move: one stands for all, the task settles the others itself. Only hashes and positions are shuffled, dealt by
-   prefix. A long passage in a third of all documents thus sends one record per task and record of the passage.
-2. Bucket: a prefix that occurs once is a leaf and drops out. Records equal throughout repeat as a whole. Prefixes with
-   several different records (where repeats begin or end) go on.
-3. Those records' symbols are fetched (one join by document) and dealt by prefix again; an operator-specific merge
-   orders them and derives common prefix lengths; extending the order to the left symbol by symbol by stable partition
-   gives each window's neighbours without sorting suffixes anew.
+1. Map: each task hashes its documents and turns them into records, by the prefix that all windows of an anchor share
+   (``length - width + 1`` symbols from the anchor on). Records that are equal throughout are aggregated before they
+   move: one, the earliest, stands for all as a leaf of several occurrences; the others are its copies, whose windows all
+   occur earlier. Only hashes and positions are shuffled, dealt by prefix. A long passage in a third of all documents
+   thus sends one record per task and record of the passage.
+2. Bucket: a prefix of one record that occurs once is a leaf by itself and drops out. Equal records of several tasks
+   become one leaf likewise. All other leaves stay open.
+3. Open leaves' symbols are fetched (one join by document). A task is a shard: it sorts its leaves and deals them by
+   prefix, in order. An operator-specific step brings a bucket's shards into one order and derives common prefix
+   lengths; extending the order to the left symbol by symbol, by stable partition, gives each window's neighbours
+   without sorting suffixes anew. Windows that two leaves share, or that lie on a leaf of several occurrences, repeat.
 4. Spans are united by document and applied to its text (one join by document).
 
 No prefix gathers an unbounded group. A task that meets very many different records of one prefix (one passage in very
 many surroundings) doesn't send them to the prefix's bucket: it knows that they stay open, and tells the bucket with one
-mark that others of that prefix do too. In step 3 a prefix with more than HOT_GROUP open records takes the longest
+mark that others of that prefix do too. In step 3 a prefix with more than HOT_GROUP open leaves takes the longest
 prefix there is, the whole window: each window goes by its own hash, aggregated in its task first.
 
 The hashes have 64 bits for the prefix and 64 more for a record; both must agree.
@@ -117,8 +119,8 @@ def unpack_columns(blob: bytes, dtypes: list) -> list[np.ndarray]:
 
 RECORD = [U64, U64, np.int64, np.int64, np.int64, np.uint16, np.uint16, np.uint8]  # K, H, key, order, start, left, run, many
 SPAN = [np.int64, np.int64, np.int64]  # key, start, stop
-HELD_OPEN = [U64, np.int64, np.int64, np.uint16, np.uint16]  # K, key, start, left, run
-FRAGMENT = [U64, np.int64, np.int64, np.int64, np.uint16, np.uint16, np.int64]  # K, key, order, start, left, run, symbols
+HELD_OPEN = [U64, np.int64, np.int64, np.uint16, np.uint16, np.uint8]  # K, key, start, left, run, many
+FRAGMENT = [U64, np.int64, np.int64, np.int64, np.uint16, np.uint16, np.uint8, np.int64]  # K, key, order, start, left, run, many, symbols
 
 
 def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -135,8 +137,8 @@ def _cells(buckets: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int
 
 _CELL = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 CELL = "bucket int, kind int, blob binary"
-_FOUND = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.int32()), ("prefix", pa.int64()), ("left", pa.int32()), ("run", pa.int32())])
-FOUND = "key long, start long, stop long, kind int, prefix long, left int, run int"
+_FOUND = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.int32()), ("prefix", pa.int64()), ("left", pa.int32()), ("run", pa.int32()), ("many", pa.int32())])
+FOUND = "key long, start long, stop long, kind int, prefix long, left int, run int, many int"
 _SPANS = pa.schema([("key", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 SPANS = "key long, start long, stop long"
 REMOVED, OPEN = 0, 1
@@ -233,13 +235,11 @@ class _Task:
         of_k = np.cumsum(new_k) - 1
         hot = (np.bincount(of_k, weights=lead)[of_k] >= self.hot_classes) & lead
         send = lead & ~hot
-        if not self.w.first_stays:
-            rest |= hot & (many[group] > 0)
         for b, cell in _cells(_bucket(k[send], self.buckets), [k[send], h[send], key[send], order[send], start[send], left[send], run[send], many[group[send]]]):
             yield b, RECORDS, pack_columns(cell)
         for b, cell in _cells(_bucket(mix(key[rest].view(U64)), self.buckets), [key[rest], start[rest], stop[rest]]):
             yield b, SPANNED, pack_columns(cell)
-        for b, cell in _cells(_bucket(mix(key[hot].view(U64)), self.buckets), [k[hot], key[hot], start[hot], left[hot], run[hot]]):
+        for b, cell in _cells(_bucket(mix(key[hot].view(U64)), self.buckets), [k[hot], key[hot], start[hot], left[hot], run[hot], many[group[hot]]]):
             yield b, OPENED, pack_columns(cell)
         marks = np.unique(k[hot])
         for b, cell in _cells(_bucket(marks, self.buckets), [marks]):
@@ -268,7 +268,8 @@ def _recorder(w: Windows, buckets: int, hot_classes: float):
 
 
 def settle(columns: list[np.ndarray], w: Windows, marked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(which records repeat as a whole, which stay open, the sorted columns) of one bucket's records."""
+    """(which records are copies of an earlier one, which are open leaves, the sorted columns) of one bucket's records.
+    The last column then tells which leaves occur several times."""
     k, h, key, order, start, left, run, many = columns
     by = np.lexsort((start, order, h, k))
     columns = [c[by] for c in columns]
@@ -280,12 +281,12 @@ def settle(columns: list[np.ndarray], w: Windows, marked: np.ndarray | None = No
     of_k = np.cumsum(new_k) - 1
     classes = np.bincount(of_k, weights=lead)[of_k]
     told = np.isin(k, marked) if marked is not None and len(marked) else np.zeros(len(k), bool)
-    if w.first_stays:
-        whole = ~lead & ((order != order[heads][group]) | (start != start[heads][group]))
-        return whole, lead & ((classes > 1) | told), columns
-    whole = ((np.bincount(group) > 1) | (np.maximum.reduceat(many, heads) > 0))[group]
-    single = np.bincount(of_k, weights=~whole)[of_k] > 0  # a prefix without a single record is settled
-    return whole, lead & ((classes > 1) & single | told), columns
+    several = (np.bincount(group) > 1) | (np.maximum.reduceat(many, heads) > 0)
+    copies = ~lead
+    if w.first_stays:  # rows of one place in the order are one occurrence
+        copies &= (order != order[heads][group]) | (start != start[heads][group])
+    columns[-1] = several[group].astype(np.uint8)
+    return copies, lead & ((classes > 1) | several[group] | told), columns
 
 
 def _columns(kinds: list[int], blobs: list[bytes], kind: int, dtypes: list) -> list[np.ndarray] | None:
@@ -299,22 +300,22 @@ def _bucketer(w: Windows):
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         out = []
 
-        def put(kind: int, key, start, stop, k=None, left=None, own_run=None) -> None:
+        def put(kind: int, key, start, stop, k=None, left=None, own_run=None, many=None) -> None:
             zero = np.zeros(len(key), np.int64)
-            columns = (key, start, stop, zero + kind, zero if k is None else k.view(np.int64), zero if left is None else left, zero if own_run is None else own_run)
+            columns = (key, start, stop, zero + kind, zero if k is None else k.view(np.int64), *(zero if c is None else c for c in (left, own_run, many)))
             out.append([pa.array(c).cast(f.type) for c, f in zip(columns, _FOUND, strict=True)])
 
         if spans := _columns(kinds, blobs, SPANNED, SPAN):
             put(REMOVED, *spans)
         if held := _columns(kinds, blobs, OPENED, HELD_OPEN):
-            k, key, start, left, own = held
-            put(OPEN, key, start, start + own + w.length, k, left, own)
+            k, key, start, left, own, many = held
+            put(OPEN, key, start, start + own + w.length, k, left, own, many)
         if records := _columns(kinds, blobs, RECORDS, RECORD):
             marked = _columns(kinds, blobs, MARKED, [U64])
-            whole, still, c = settle(records, w, marked and marked[0])
-            k, _, key, _, start, left, own, _ = c
-            for which, kind in ((whole, REMOVED), (still, OPEN)):
-                put(kind, key[which], start[which], start[which] + own[which] + w.length, k[which], left[which], own[which])
+            copies, still, c = settle(records, w, marked and marked[0])
+            k, _, key, _, start, left, own, many = c
+            for which, kind in ((copies, REMOVED), (still, OPEN)):
+                put(kind, key[which], start[which], start[which] + own[which] + w.length, k[which], left[which], own[which], many[which])
         if not out:
             return _FOUND.empty_table()
         return pa.Table.from_batches([pa.RecordBatch.from_arrays(c, schema=_FOUND) for c in out])
@@ -337,8 +338,25 @@ def window_hashes(parts: list[np.ndarray], w: Windows) -> np.ndarray:
     return mix((sums[at + w.length] - sums[at]) * down[at])
 
 
+def _pack_symbols(symbols: np.ndarray) -> bytes:
+    """Word hashes don't compress, and fragments overlap: each different one is kept once."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    if symbols.dtype == np.uint8:
+        return squeeze(symbols.tobytes())
+    different, codes = np.unique(symbols, return_inverse=True)
+    table = different.tobytes()
+    return len(table).to_bytes(8, "little") + table + pack_columns([codes.astype(np.uint32)])
+
+
+def _unpack_symbols(blob: bytes, w: Windows) -> np.ndarray:
+    if w.dtype == np.uint8:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = 8 + int.from_bytes(blob[:8], "little")
+    return np.frombuffer(blob[8:n], U64)[unpack_columns(blob[n:], [np.uint32])[0]]
+
+
 def _fetcher(w: Windows, buckets: int):
-    """(key, order, text, open records) -> cells of fragments, and of windows for hot prefixes."""
+    """(key, order, text, open leaves) -> cells of fragments, sorted, and of windows for hot prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -346,14 +364,17 @@ def _fetcher(w: Windows, buckets: int):
         hot_rows: list[tuple[int, int, int]] = []
         hot_parts: list[np.ndarray] = []
         size = hot_size = 0
+        whole: list[tuple[int, int, int]] = []
         windows = _Task(w, buckets, float("inf"))
 
         def flush() -> pa.RecordBatch:
             columns = [np.array(c, t) for c, t in zip(zip(*rows), FRAGMENT, strict=True)]
+            after = [part[r[4] + w.prefix :].astype(part.dtype.newbyteorder(">")).tobytes() for r, part in zip(rows, parts, strict=True)]
+            inner = np.array(sorted(range(len(rows)), key=after.__getitem__))
+            ordered = inner[np.argsort(columns[0][inner], kind="stable")]  # the shard's order: by prefix, then by what follows
             cells = []
-            for b, at in _cells(_bucket(columns[0], buckets), [np.arange(len(rows))]):
-                own = np.concatenate([parts[i] for i in at[0]])
-                head, body = pack_columns([c[at[0]] for c in columns]), zstandard.ZstdCompressor(level=1).compress(own.tobytes())
+            for b, at in _cells(_bucket(columns[0][ordered], buckets), [ordered]):
+                head, body = pack_columns([c[at[0]] for c in columns]), _pack_symbols(np.concatenate([parts[i] for i in at[0]]))
                 cells.append((b, RECORDS, len(head).to_bytes(8, "little") + head + body))
             return _batch(cells)
 
@@ -369,11 +390,19 @@ def _fetcher(w: Windows, buckets: int):
                 windows.held += len(h)
             hot_rows, hot_parts, hot_size = [], [], 0
 
+        def several() -> Iterator[tuple[int, int, bytes]]:
+            """Spans of hot leaves of several occurrences."""
+            if whole:
+                columns = list(np.array(whole, np.int64).T)
+                whole.clear()
+                for b, cell in _cells(_bucket(mix(columns[0].view(U64)), buckets), columns):
+                    yield b, WINDOW_SPANS, pack_columns(cell)
+
         def dealt(force: bool) -> Iterator[pa.RecordBatch]:
             if force:
                 hashed()
             kinds = {RECORDS: WINDOWED, SPANNED: WINDOW_SPANS}
-            if cells := [(b, kinds[kind], blob) for b, kind, blob in windows.flush(force)]:
+            if cells := [*several(), *((b, kinds[kind], blob) for b, kind, blob in windows.flush(force))]:
                 yield _batch(cells)
 
         for batch in batches:
@@ -387,8 +416,10 @@ def _fetcher(w: Windows, buckets: int):
                         hot_rows.append((key, order, r["start"]))
                         hot_parts.append(part)
                         hot_size += len(part)
+                        if r["many"] and not w.first_stays:
+                            whole.append((key, r["start"], r["start"] + r["run"] + w.length))
                     else:
-                        rows.append((r["prefix"] & (2**64 - 1), key, order, r["start"], r["left"], r["run"], len(part)))
+                        rows.append((r["prefix"] & (2**64 - 1), key, order, r["start"], r["left"], r["run"], r["many"], len(part)))
                         parts.append(part)
                         size += len(part) * part.itemsize
                 if size > FLUSH_SYMBOLS:
@@ -404,7 +435,7 @@ def _fetcher(w: Windows, buckets: int):
 
 @dataclass
 class Fragments:
-    """Open records with their symbols: ``symbols[offset : offset + size]`` from a record's first window on."""
+    """Open leaves with their symbols: ``symbols[offset : offset + size]`` from a record's first window on."""
 
     prefix: np.ndarray
     key: np.ndarray
@@ -412,18 +443,18 @@ class Fragments:
     start: np.ndarray
     left: np.ndarray
     run: np.ndarray
+    many: np.ndarray
     size: np.ndarray
     symbols: np.ndarray
 
     @staticmethod
     def unpack(blobs: list[bytes], w: Windows) -> list[Fragments]:
-        """One of each cell: each was made by one task."""
+        """One of each cell: a shard's leaves, in order."""
         out = []
         for b in blobs:
             n = 8 + int.from_bytes(b[:8], "little")
-            k, key, order, start, left, run, size = unpack_columns(b[8:n], FRAGMENT)
-            symbols = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[n:]), w.dtype)
-            out.append(Fragments(k, key, order, start, left.astype(np.int64), run.astype(np.int64), size, symbols))
+            k, key, order, start, left, run, many, size = unpack_columns(b[8:n], FRAGMENT)
+            out.append(Fragments(k, key, order, start, left.astype(np.int64), run.astype(np.int64), many, size, _unpack_symbols(b[n:], w)))
         return out
 
     @staticmethod
@@ -504,11 +535,16 @@ def _merger(w: Windows, merge: Callable[[list[Fragments], Windows], tuple]):
         if parts := Fragments.unpack([b for k, b in zip(kinds, blobs, strict=True) if k == RECORDS], w):
             f, rows, block, common_right = merge(parts, w)
             out.append(_spans_of(f, *extend_left(f, rows, block, common_right, w), w))
+            if not w.first_stays:  # all windows on a leaf of several occurrences
+                several = f.many > 0
+                out.append((f.key[several], f.start[several], (f.start + f.run)[several] + w.length))
         if spans := _columns(kinds, blobs, WINDOW_SPANS, SPAN):
             out.append(spans)
         if records := _columns(kinds, blobs, WINDOWED, RECORD):
-            whole, _, c = settle(records, w)
-            out.append((c[2][whole], c[4][whole], c[4][whole] + w.length))
+            which, _, c = settle(records, w)
+            if not w.first_stays:
+                which = c[-1] > 0
+            out.append((c[2][which], c[4][which], c[4][which] + w.length))
         if not out:
             return _SPANS.empty_table()
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=_SPANS)
@@ -540,7 +576,7 @@ def repeated_spans(
     opened = found.where(F.col("kind") == OPEN)
     # few rows, stored: the join below broadcasts them or, if they are many, splits hot keys
     hot = common.materialize(opened.groupBy("prefix").count().where(F.col("count") > hot_group).select("prefix", F.lit(True).alias("hot")), "hot")
-    each = opened.join(hot, "prefix", "left").select("key", F.struct("start", "left", "run", "prefix", F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"))
+    each = opened.join(hot, "prefix", "left").select("key", F.struct("start", "left", "run", "prefix", "many", F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"))
     still = each.groupBy("key").agg(F.collect_set("r").alias("found"))
     fetched = texts.select("key", "ord", "text").join(still, "key").select("key", "ord", "text", "found")
     fragments = fetched.mapInArrow(_fetcher(w, buckets), CELL)

@@ -130,12 +130,13 @@ def test_common_prefixes_equal_direct_comparison():
     rows = ["".join(rng.choice("ab") for _ in range(w.prefix)) for _ in range(2)]
     sequences = [(rng.randrange(2), "".join(rng.choice("a\x00b") for _ in range(rng.randint(0, 12)))) for _ in range(200)]
     parts = []
-    for some in (sequences[:90], sequences[90:]):
+    for some in (sequences[:90], sequences[90:120], sequences[120:]):
+        some = sorted(some, key=lambda x: (x[0], x[1].encode()))  # a shard comes sorted
         body = [(rows[k] + tail).encode() for k, tail in some]
         n = len(some)
         zero = np.zeros(n, np.int64)
-        parts.append(rp.Fragments(np.array([k for k, _ in some], np.uint64), zero, zero, np.arange(n), zero, zero, np.array(list(map(len, body))), np.frombuffer(b"".join(body), np.uint8)))
-    f, order, block, shared = bd.interleave(parts, w)
+        parts.append(rp.Fragments(np.array([k for k, _ in some], np.uint64), zero, zero, np.arange(n), zero, zero, zero, np.array(list(map(len, body))), np.frombuffer(b"".join(body), np.uint8)))
+    f, order, block, shared = bd.merge_shards(parts, w)
     strings = [f.symbols[o : o + s].tobytes() for o, s in zip(f.offset, f.size)]
     assert [strings[r] for r in order] == sorted(strings, key=lambda s: (s[: w.prefix] != rows[0].encode(), s))
     for i in range(1, len(order)):
@@ -151,7 +152,35 @@ def test_hot_prefixes_give_the_same(spark, hot_classes, hot_group):
     df = spark.createDataFrame([(t, d, "x", 1) for t, d in rows], SCHEMA).repartition(3)
     texts = rp.keyed_texts(df)
     for module, size, brute, columns in ((sst, 6, brute_words, 4), (bd, 20, brute_bytes, 5)):
-        spans = rp.repeated_spans(texts, module.windows(size), {sst: sst.subtrees, bd: bd.interleave}[module], hot_classes, hot_group)
+        spans = rp.repeated_spans(texts, module.windows(size), {sst: sst.subtrees, bd: bd.merge_shards}[module], hot_classes, hot_group)
         schema = module.CUT.rpartition(", kept ")[0]
         got = rp.with_spans(texts, spans).mapInArrow(module._cutter(False), schema).collect()
         assert sorted((tuple(r)[:columns] for r in got), key=key) == sorted(brute(rows, size), key=key)
+
+
+@pytest.mark.parametrize("n", [399, 400, 401])
+def test_passages_about_the_limit(spark, n):
+    """A passage of n bytes that three documents share goes from 400 bytes on, in each of them and wholly."""
+    rng = random.Random(n)
+    noise = lambda m: "".join(rng.choice("abcdefghijklmnop ") for _ in range(m))
+    passage = "é" + noise(n - 2)
+    rows = [(1, "1" + noise(700) + "A" + passage + "B" + noise(300)), (2, passage), (3, noise(90) + "C" + passage), (4, noise(1200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in bd.remove_repeated_bytes(df, with_text=False).collect()}
+    assert got == {1: (n, 1), 2: (n, 1), 3: (n, 1), 4: (0, 0)} if n >= 400 else set(got.values()) == {(0, 0)}
+
+
+def test_merging_sorts_no_shard_again():
+    """The interleave names shards only: what comes from one shard keeps its order whatever the others hold."""
+    rng = random.Random(5)
+    w = bd.windows(40)
+    parts = []
+    for _ in range(6):
+        tails = sorted("".join(rng.choice("ab") for _ in range(rng.randint(0, 30))).encode() for _ in range(rng.randint(1, 50)))
+        body = [b"p" * w.prefix + t for t in tails]
+        zero = np.zeros(len(body), np.int64)
+        parts.append(rp.Fragments(zero.astype(np.uint64), zero, zero, np.arange(len(body)), zero, zero, zero, np.array(list(map(len, body))), np.frombuffer(b"".join(body), np.uint8)))
+    _, rows, _, _ = bd.merge_shards(parts, w)
+    first = np.cumsum([0] + [len(p.key) for p in parts])
+    for a, b in zip(first, first[1:]):
+        assert (np.diff(rows[(rows >= a) & (rows < b)]) > 0).all()
