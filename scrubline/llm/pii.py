@@ -1,11 +1,15 @@
 """Personal data: format-preserving Feistel pseudonyms.
 
-Found and replaced, each keeping its length, punctuation and kind:
+Found and replaced, each keeping its punctuation and kind and, but for named months and the parts of IPv4 addresses, its
+length:
 
-* card numbers: 13 to 19 digits (blanks or hyphens between groups) that pass the Luhn check;
-* telephone numbers: ``+`` and 7 to 15 digits, or a bracketed area code and at least 10 digits in all;
+* card numbers: 13 to 19 digits (blanks or hyphens between groups) that pass the Luhn check; where further digits follow,
+  a part of them in the usual groups (4-4-4-4, 4-4-4-4-3, 4-6-5, 4-6-4);
+* telephone numbers: ``+`` and 7 to 15 digits, a bracketed area code and at least 10 digits in all, or the North American
+  groups 3-3-4 with one separator;
 * IPv4 addresses with four parts of 0 to 255;
-* dates: year first or year last with a real calendar day between 1900 and 2099;
+* dates: year first or year last with a real calendar day between 1900 and 2099, before a time of day too, and days
+  with an English month name (``12 March 2024``, ``Mar 12, 2024``);
 * IBANs that pass the mod-97 check;
 * US social security numbers ``ddd-dd-dddd`` of an assigned range;
 * e-mail addresses (local part and host are permuted; the top-level domain stays);
@@ -16,6 +20,9 @@ network over exactly the set of valid values of its format (cycle walking re-ent
 into the original punctuation. So equal values get equal pseudonyms across documents, however they were spaced,
 different values never collide, no value stays as it is, and the holder of the key can invert the mapping.
 
+The key is a parameter. Queries and the pipeline take it from the session's setting ``KEY_SETTING``; where that is unset
+they make a random one and set it, so pseudonyms are linked within the session and nobody else can invert them.
+
 Each text is rewritten in its own task; nothing is shuffled and nothing but the key is shared.
 
 Defined results: a null text stays null and an empty one empty, with no findings; rows are rewritten one by one, so
@@ -28,17 +35,17 @@ import datetime
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scrubline.llm import worker
 
 ROUNDS = 8
-#: Demonstration key; deployments pass their own.
-DEFAULT_KEY = b"scrubline-demonstration-key"
+KEY_SETTING = "spark.scrubline.pseudonym.key"
 
 _DATE_LOW = datetime.date(1900, 1, 1).toordinal()
 _DATE_HIGH = datetime.date(2099, 12, 31).toordinal()
@@ -134,6 +141,18 @@ def _only_digits(s: str) -> str:
     return re.sub("[^0-9]", "", s)
 
 
+#: Lengths of the digit groups that card numbers are printed in. Fixed values.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4))
+
+
+def card_parts(m: str) -> list[str]:
+    """What else of a run of digit groups could be a card: its first groups, if they are printed as cards are."""
+    groups = [(g.start(), g.end()) for g in re.finditer("[0-9]+", m)]
+    lengths = tuple(b - a for a, b in groups)
+    parts = [m[: groups[len(usual) - 1][1]] for usual in CARD_GROUPS if lengths[: len(usual)] == usual and len(lengths) > len(usual)]
+    return sorted(parts, key=len, reverse=True) + ([m[: groups[0][1]]] if len(lengths) > 1 and 13 <= lengths[0] <= 19 else [])
+
+
 def card(p: Permuter, m: str) -> str | None:
     d = _only_digits(m)
     if not luhn_ok(d):
@@ -142,14 +161,24 @@ def card(p: Permuter, m: str) -> str | None:
     return _refill(m, payload + luhn_digit(payload))
 
 
+def phone_parts(m: str) -> list[str]:
+    """A short group after a long one is the next number in the text, not the end of this one."""
+    cut = re.fullmatch("(.*[0-9]{5})[ .-][0-9]{1,2}", m)
+    return [cut[1]] if cut else []
+
+
 def phone(p: Permuter, m: str) -> str | None:
     d = _only_digits(m)
-    if not (7 <= len(d) <= 15 and (m[0] == "+" or "(" in m and len(d) >= 10)):
+    if not (7 <= len(d) <= 15 and (m[0] == "+" or "(" in m and len(d) >= 10)) or phone_parts(m):
         return None
     keep = 1 if m[0] == "+" else 0  # the leading country digit stays, so the number remains one of its region
     return _refill(m, d[:keep] + str(p.moved(int(d[keep:]), 10 ** (len(d) - keep), f"phone{d[:keep]}")).zfill(len(d) - keep))
 
 
+def local_phone(p: Permuter, m: str) -> str | None:
+    return _refill(m, str(p.moved(int(_only_digits(m)), 10**10, "local phone")).zfill(10))
+
+
 def ipv4(p: Permuter, m: str) -> str | None:
     parts = [int(x) for x in m.split(".")]
     if max(parts) > 255:
@@ -179,6 +208,36 @@ def date(p: Permuter, m: str) -> str | None:
     return sep.join(named[k] for k in order)
 
 
+#: Fixed values.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "|".join(f"{name}|{name[:3]}" for name in MONTHS)
+_NAMED = re.compile(rf"(?:(?P<d1>[0-9]{{1,2}}) )?(?P<m>{_MONTH})\.? (?:(?P<d2>[0-9]{{1,2}}),? )?(?P<y>[0-9]{{4}})")
+
+
+def named_date(p: Permuter, m: str) -> str | None:
+    got = _NAMED.fullmatch(m)
+    month = next(i for i, name in enumerate(MONTHS) if name[:3] == got["m"][:3])
+    which = "d1" if got["d1"] else "d2"
+    try:
+        day = datetime.date(int(got["y"]), month + 1, int(got[which])).toordinal()
+    except ValueError:
+        return None
+    if not _DATE_LOW <= day <= _DATE_HIGH:
+        return None
+    new = datetime.date.fromordinal(p.moved(day - _DATE_LOW, _DATE_HIGH - _DATE_LOW + 1, "date") + _DATE_LOW)
+    name = MONTHS[new.month - 1]
+    values = {which: f"{new.day:02d}" if got[which][0] == "0" else str(new.day), "m": name[:3] if len(got["m"]) == 3 and got["m"] != "May" else name, "y": str(new.year)}
+    for group in sorted(values, key=got.start, reverse=True):
+        m = m[: got.start(group)] + values[group] + m[got.end(group) :]
+    return m
+
+
+def iban_parts(m: str) -> list[str]:
+    """The same without its last groups: what follows an IBAN can look like more of it."""
+    ends = [x.start() for x in re.finditer(" ", m)]
+    return [m[:e] for e in reversed(ends) if e >= 15]
+
+
 def iban(p: Permuter, m: str) -> str | None:
     s = m.replace(" ", "")
     if not 15 <= len(s) <= 34 or iban_check(s[:2], s[4:]) != s[2:4]:
@@ -222,15 +281,20 @@ KINDS = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", iban),
     ("secret", r"(?<![A-Za-z0-9])(?=[0-9]*[A-Fa-f])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])", secret),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", ipv4),
-    ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\w/-]|\.[0-9])", date),
+    ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?=T[0-9]{2}:|(?![\w/-]|\.[0-9]))", date),
+    ("named_date", rf"(?<![\w])(?:[0-9]{{1,2}} (?:{_MONTH})\.?|(?:{_MONTH})\.? [0-9]{{1,2}},?) [0-9]{{4}}(?![\w])", named_date),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
     ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\w])|(?<![\w+])\+[0-9](?:[ .-]?[0-9]){6,14}(?![\w])", phone),
+    ("local_phone", r"(?<![\w.+-])[2-9][0-9]{2}([ .-])[2-9][0-9]{2}\1[0-9]{4}(?![\w-]|\.[0-9])", local_phone),
     ("card", r"(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w])", card),
 )
 KIND_NAMES = tuple(k for k, _, _ in KINDS)
 _PATTERNS = [(k, re.compile(p), f) for k, p, f in KINDS]
+#: What is tried where a match is not valid as a whole, and where the search goes on if nothing is.
+_PARTS = {"card": card_parts, "phone": phone_parts, "iban": iban_parts}
+_NEXT_GROUP = re.compile(r"[^\w][\w+(]")
 #: A text without any of these has no finding: one cheap pass lets most texts go at once.
-_TRIGGER = re.compile(r"@|[0-9][0-9 ./()\-]{5}|AKIA|[0-9A-Fa-f]{32}|[A-Z]{2}[0-9]{2}[ A-Z0-9]")
+_TRIGGER = re.compile(rf"(?:{_MONTH})\.? [0-9]|[0-9] (?:{_MONTH})" + r"|@|[0-9][0-9 ./()\-]{5}|AKIA|[0-9A-Fa-f]{32}|[A-Z]{2}[0-9]{2}[ A-Z0-9]")
 
 
 class Rewriter:
@@ -245,11 +309,20 @@ class Rewriter:
         if not text or not _TRIGGER.search(text):
             return text, {}
         spans: list[tuple[int, int, int, str]] = []
-        for k, (_, pattern, _) in enumerate(_PATTERNS):
-            for m in pattern.finditer(text):
-                new = self.cached(k, m[0])
-                if new is not None:
-                    spans.append((m.start(), k, m.end(), new))
+        for k, (kind, pattern, _) in enumerate(_PATTERNS):
+            parts_of, m = _PARTS.get(kind), pattern.search(text)
+            while m:
+                start, end = m.span()
+                for value in (m[0], *(parts_of(m[0]) if parts_of else ())):
+                    new = self.cached(k, value)
+                    if new is not None:
+                        end = start + len(value)
+                        spans.append((start, k, end, new))
+                        break
+                else:
+                    group = _NEXT_GROUP.search(text, start + 1, end) if parts_of else None
+                    end = group.start() + 1 if group else end
+                m = pattern.search(text, end)
         spans.sort()
         parts, at, counts = [], 0, {}
         for start, k, end, new in spans:
@@ -260,7 +333,14 @@ class Rewriter:
         return "".join(parts) + text[at:], counts
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING; where it is unset, a random one, which is set then."""
+    if not spark.conf.get(KEY_SETTING, ""):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING).encode()
+
+
+def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with rewritten text; all columns and rows are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +357,7 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((f"n_{k}",
 FOUND = "doc_id long, text string, " + "".join(f"n_{k} long, " for k in KIND_NAMES) + "n_replaced long"
 
 
-def pseudonymize_report(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def pseudonymize_report(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, rewritten text, findings by kind) of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,4 +373,4 @@ def pseudonymize_report(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
 
 
 def op7_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:
-    return pseudonymize_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pseudonymize_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), session_key(spark))
