@@ -35,7 +35,8 @@ def texts():
     for n in (7, 8, 9, 19, 20, 21, 60, 300, 40000):
         out.append("".join(rng.choice(vocabulary) + rng.choice([" ", "\n", "  ", "\t"]) for _ in range(n)))
     clean = " ".join("".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(500))
-    return [*out, clean, clean + " " + clean]
+    falling_back = " ".join(rng.choice(["\U000103a0\U000103b1", "word", "ꙮꙮ", "🂡x", "\u0f00a"]) for _ in range(90))
+    return [*out, falling_back, "".join(rng.choice("abcdefgh  \n") for _ in range(3_000_000)), clean, clean + " " + clean]
 
 
 def test_base_columns_equal_brute_force(spark):
@@ -60,6 +61,21 @@ def test_fertility_equals_brute_force():
             assert math.isclose(got["chars_per_token"], sum(map(len, WORD.findall(text))) / len(ids))
 
 
+def test_byte_fallback_is_measured_and_judged():
+    judge = qr.Judge(RULES)
+    r = judge(texts()[-4].encode(), "en")
+    assert r["byte_share"] > 0.3 and r["rejected_by"] in ("fertility", "byte_fallback")
+    wide = qr.Rules(RULES.model_path, {"en": qr.Band((0.1, 9), 0.02, 0)})
+    assert qr.Judge(wide)(texts()[-4].encode(), "en")["rejected_by"] == "byte_fallback"
+
+
+def test_bands_are_those_that_calibration_measures(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    good = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1")
+    assert qr.calibrate(docs, good, RULES) == RULES.languages
+    assert qr.calibrate(docs, good.limit(0), RULES) == {}
+
+
 def test_verdicts():
     judge = qr.Judge(RULES)
     rng = random.Random(1)
