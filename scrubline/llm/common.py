@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space: what separates words everywhere in this subpackage (bytes.split() uses the same set).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -56,13 +56,58 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more."""
+    for df in stored:
+        _delete(df.sparkSession, df._scratch_path)
+
+
+#: Rows of a sieve, 64 bits each: what is broadcast of one, whatever the input.
+SIEVE_SLOTS = 1 << 17
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(SIEVE_SLOTS)).cast("int")
+
+
+def _bit(key: Column) -> Column:
+    return F.pow(F.lit(2), F.pmod(F.xxhash64(key, F.lit(6)), F.lit(62))).cast("long")
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """A bit for each key of a one-column table, in SIEVE_SLOTS rows at most: see may_hold()."""
+    key = F.col(keys.columns[0])
+    return materialize(keys.select(_slot(key).alias("_slot"), _bit(key).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits")), "sieve")
+
+
+def sifted(df: DataFrame, key: Column, made: DataFrame) -> DataFrame:
+    """df with ``_held``: false for rows whose key is surely not in the sieve, so that only the others need to move to be
+    joined. The sieve is broadcast; its size is bounded by SIEVE_SLOTS. A full sieve saves nothing and loses nothing."""
+    joined = df.withColumn("_slot", _slot(key)).join(F.broadcast(made), "_slot", "left")
+    return joined.withColumn("_held", F.coalesce(F.col("_bits").bitwiseAND(_bit(key)) != 0, F.lit(False))).drop("_slot", "_bits")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """(_row, doc): a number that tells rows apart whatever their ids, and all columns of docs in a struct, where their
     names clash with none. It must be stored before it is used twice."""
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return docs.select(F.monotonically_increasing_id().alias("_row"), packed(docs))
+
+
+def packed(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """numbered(), stored; or, where doc_id is never null and never repeated, docs itself under _row = doc_id."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return docs.select(F.col("doc_id").cast("long").alias("_row"), packed(docs))
+    return materialize(numbered(docs), "rows")
 
 
 def plan_bytes(df: DataFrame) -> int:

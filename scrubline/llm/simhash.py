@@ -129,9 +129,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids the one with the smallest hash of text). A row without doc_id can't be told apart and always stays."""
     from scrubline.llm.minhash import first_of_each  # which imports this module
 
-    rows = common.materialize(common.numbered(docs), "rows")
+    rows = common.told_apart(docs)
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "doc.text"))  # components are named by rows, not ids
-    return first_of_each(rows, found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")))
+    return first_of_each(rows, common.materialize(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")), "groups"))
 
 
 def op1_simhash_grid(spark, sf_dir: str) -> DataFrame:
