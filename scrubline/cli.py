@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 
 from pyspark.sql import SparkSession, functions as F
@@ -56,8 +57,13 @@ def clean(spark: SparkSession, paths: list[str], folder: str | None, options: St
     return int(failed > 0)
 
 
+def lines(source: str) -> str:
+    """Line ends as newlines, a final one dropped; other separators are hidden characters and stay."""
+    return re.sub("\r\n?", "\n", source).removesuffix("\n")
+
+
 def text(spark: SparkSession, source: str, markdown: bool) -> int:
-    df = spark.createDataFrame([("\n".join(source.splitlines()),)], "text string")
+    df = spark.createDataFrame([(lines(source),)], "text string")
     r = clean_text(df, options=TextOptions(strip_markdown=markdown)).select("cleaned.text", summary(F.col("cleaned")).alias("summary")).first()
     print(r.text)
     print(r.summary, file=sys.stderr)
@@ -80,7 +86,7 @@ def main(argv: list[str] | None = None) -> int:
         return scan(spark, a.files)
     if a.command == "clean":
         return clean(spark, a.files, a.folder, StripOptions(keep_icc=not a.no_icc, keep_orientation=not a.no_orientation))
-    return text(spark, sys.stdin.read(), a.markdown)
+    return text(spark, sys.stdin.buffer.read().decode(errors="replace"), a.markdown)
 
 
 if __name__ == "__main__":

@@ -72,6 +72,26 @@ def inflate(data: bytes) -> bytes | None:
         return None
 
 
+def token_windows(data: bytes) -> Iterator[tuple[str, int, bytes]]:
+    """(token, first place, what stands around it) of each strong token."""
+    for token in STRONG_TOKENS:
+        at = data.find(token.encode())
+        if at >= 0:
+            yield token, at, data[max(0, at - 512) : at + 4096]
+
+
+def find_tokens(content: Column) -> Column:
+    """array<struct<token, at, context>>: token_windows of each payload, context being the window's length."""
+
+    @F.arrow_udf("array<struct<token:string,at:bigint,context:bigint>>")
+    def run(contents: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("token", pa.string()), ("at", pa.int64()), ("context", pa.int64())]))
+        rows = [None if x is None else [{"token": t, "at": at, "context": len(w)} for t, at, w in token_windows(x)] for x in contents.to_pylist()]
+        return pa.array(rows, kind)
+
+    return run(content)
+
+
 class Blocks(list):
     """The blocks of one file in order."""
 
@@ -94,10 +114,8 @@ class Blocks(list):
         self.append(row)
 
     def tokens(self, data: bytes, location: str = "file") -> None:
-        for token in STRONG_TOKENS:
-            at = data.find(token.encode())
-            if at >= 0:
-                self.put("TOKEN", location, key=token, text=strings(data[max(0, at - 512) : at + 4096]))
+        for token, _, window in token_windows(data):
+            self.put("TOKEN", location, key=token, text=strings(window))
 
     def raw(self, data: bytes) -> None:
         """What can be found without knowing the container."""
@@ -323,13 +341,16 @@ def _row(fmt: str, f: BinaryIO, size: int) -> dict:
     return {"blocks": list(blocks), "animated": False, "has_alpha": False, "lossless": False, "parse_error": error} | traits
 
 
+def parse_rows(contents: list[bytes | None], formats: list[str | None]) -> pa.Array:
+    return pa.array([None if x is None else _row(g, io.BytesIO(x), len(x)) for x, g in zip(contents, formats, strict=True)], _PARSED)
+
+
 def parse_content(content: Column, fmt: Column) -> Column:
     """PARSED of in-row payloads; null stays null."""
 
     @F.arrow_udf(PARSED)
     def run(contents: pa.Array, formats: pa.Array) -> pa.Array:
-        rows = (None if x is None else _row(g, io.BytesIO(x), len(x)) for x, g in zip(contents.to_pylist(), formats.to_pylist(), strict=True))
-        return pa.array(rows, _PARSED)
+        return parse_rows(contents.to_pylist(), formats.to_pylist())
 
     return run.asNondeterministic()(content, fmt)
 

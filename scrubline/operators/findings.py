@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scrubline.functions import sniff
 from scrubline.functions.let import let, present
+from scrubline.functions.names import fresh, others
 from scrubline.operators.blocks import STRONG_TOKENS, parse_content
 
 # -- fixed values: vocabularies that results depend on --------------------------------------------------------------------
@@ -195,8 +196,28 @@ def file_findings(blocks: Column) -> Column:
     every = F.flatten(
         F.transform(blocks, lambda b: F.transform(block_findings(b), lambda x: F.struct(x["kind"].alias("kind"), b["location"].alias("location"), x["detail"].alias("detail"))))
     )
-    key = lambda x: F.struct(x["kind"], F.when(x["kind"].isin("AI_SOURCE_TYPE", "AI_GENERATOR"), F.lit("")).otherwise(x["location"]), F.coalesce(x["detail"], F.lit("\0")))
-    return let(every, lambda own: let(F.transform(own, key), lambda keys: F.filter(own, lambda x, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1)))
+    return once(every)
+
+
+def _value(kind: Column, location: Column, detail: Column) -> list[Column]:
+    """What makes findings the same: vocabulary hits are by name, wherever they stand."""
+    return [kind.alias("kind"), F.when(kind.isin("AI_SOURCE_TYPE", "AI_GENERATOR"), F.lit("")).otherwise(location).alias("place"), F.coalesce(detail, F.lit("\0")).alias("detail")]
+
+
+def once(found: Column) -> Column:
+    """The first of equal findings of one file, in order. Sorting twice keeps it from growing with the square of them."""
+    named = F.transform(found, lambda x, i: F.struct(F.struct(*_value(x["kind"], x["location"], x["detail"])).alias("value"), i.alias("i"), x.alias("x")))
+    first = lambda s: F.filter(s, lambda e, j: (j == 0) | ~e["value"].eqNullSafe(F.try_element_at(s, F.greatest(j, F.lit(1)))["value"]))
+    return let(F.array_sort(named), lambda s: F.transform(F.array_sort(F.transform(first(s), lambda e: F.struct(e["i"], e["x"]))), lambda e: e["x"]))
+
+
+def once_a_file(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The same over a table (keys, seq, kind, location, detail): no file's findings are gathered in one row."""
+    kind, place, detail = fresh(found, "kind", "place", "detail")
+    values = [c.alias(n) for c, n in zip(_value(F.col("kind"), F.col("location"), F.col("detail")), (kind, place, detail), strict=True)]
+    rest = F.struct("seq", *[F.col(f"`{c}`") for c in found.columns if c not in keys and c != "seq"])
+    first = found.select(*keys, *values, rest.alias(place + "rest")).groupBy(*keys, kind, place, detail).agg(F.min(place + "rest").alias("first"))
+    return first.select(*keys, "first.*").select(found.columns)
 
 
 def report_columns(report: Column) -> dict[str, Column]:
@@ -225,10 +246,11 @@ def report_of(fmt: Column, parsed: Column) -> Column:
 
 
 def scan(df: DataFrame, content: str = "content", into: str = "report") -> DataFrame:
-    """Adds a report to each payload; a null payload has a null report."""
-    work = df.withColumn("_format", sniff.detect_format(F.col(content)))
-    work = work.withColumn("_parsed", parse_content(F.col(content), F.col("_format")))
-    return work.select(*df.columns, report_of(F.col("_format"), F.col("_parsed")).alias(into))
+    """Adds a report to each payload; a null payload has a null report. A column called like ``into`` is replaced."""
+    fmt, parsed = fresh(df, "format", "parsed")
+    work = df.withColumn(fmt, sniff.detect_format(F.col(content)))
+    work = work.withColumn(parsed, parse_content(F.col(content), F.col(fmt)))
+    return work.select(*others(df, into), report_of(F.col(fmt), F.col(parsed)).alias(into))
 
 
 def explode_findings(reports: DataFrame, keys: list[str], report: str = "report") -> DataFrame:

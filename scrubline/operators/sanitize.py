@@ -12,6 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scrubline.functions import hidden, markdown, text as T
+from scrubline.functions.names import fresh, others
 from scrubline.functions.text import TextOptions
 
 
@@ -48,43 +49,44 @@ def _listed(state: Column, issues: list[str]) -> Column:
 
 
 def clean_text(df: DataFrame, column: str = "text", options: TextOptions = TextOptions(), into: str = "cleaned") -> DataFrame:
-    """Adds ``into``: struct<text, counts map<string,int>, code_points map<int,int>, total, changed, hidden>."""
+    """Adds ``into``: struct<text, counts map<string,int>, code_points map<int,int>, total, changed, hidden>. All columns stay,
+    whatever their names; one that is called like ``into`` is replaced."""
     o = options
-    names = [c for c in df.columns]
+    a, m, p, t, w, c, h = fresh(df, *"amptwch")
     rules = T.artifact_rules(o)
     first = T.apply_rules(T.normalize_newlines(F.col(column)), rules) if rules else F.struct(T.normalize_newlines(F.col(column)).alias("text"))
-    work = df.withColumn("_a", first)
-    work = work.withColumn("_m", markdown.strip_markdown(F.col("_a.text")) if o.strip_markdown else F.struct(F.col("_a.text").alias("text"), F.lit(0).alias("MARKDOWN")))
+    work = df.withColumn(a, first)
+    work = work.withColumn(m, markdown.strip_markdown(F.col(f"{a}.text")) if o.strip_markdown else F.struct(F.col(f"{a}.text").alias("text"), F.lit(0).alias("MARKDOWN")))
     typed = T.typography_rules(o)
     issues = list(dict.fromkeys(r.issue for r in typed))
-    plain = F.col("_m.text")
+    plain = F.col(f"{m}.text")
     hazard = plain.rlike(T.beyond_latin("|".join([T.HAZARD, uncomposed_pattern(), *([T.FANCY] if o.fancy else [])])))
-    work = work.withColumn("_p", hidden.character_pass(o)(F.when(hazard, plain)))
+    work = work.withColumn(p, hidden.character_pass(o)(F.when(hazard, plain)))
     native = T.apply_rules(plain, typed) if typed else F.struct(plain.alias("text"))
-    work = work.withColumn("_t", F.when(F.col("_p").isNull(), native))
-    work = work.withColumn("_w", T.whitespace(F.coalesce(F.col("_p.text"), F.col("_t.text")), o))
+    work = work.withColumn(t, F.when(F.col(p).isNull(), native))
+    work = work.withColumn(w, T.whitespace(F.coalesce(F.col(f"{p}.text"), F.col(f"{t}.text")), o))
     none = F.array().cast("array<struct<issue:string,n:int>>")
     counts = _merge(
         [
-            _listed(F.col("_a"), list(dict.fromkeys(r.issue for r in rules))),
-            _listed(F.col("_m"), ["MARKDOWN"]),
-            F.coalesce(F.col("_p.counts"), none),
-            F.when(F.col("_p").isNull(), _listed(F.col("_t"), issues)).otherwise(none),
-            _listed(F.col("_w"), ["WHITESPACE"]),
+            _listed(F.col(a), list(dict.fromkeys(r.issue for r in rules))),
+            _listed(F.col(m), ["MARKDOWN"]),
+            F.coalesce(F.col(f"{p}.counts"), none),
+            F.when(F.col(p).isNull(), _listed(F.col(t), issues)).otherwise(none),
+            _listed(F.col(w), ["WHITESPACE"]),
         ]
     )
-    points = F.coalesce(F.map_from_entries(F.transform("_p.points", lambda e: F.struct(e["cp"], e["n"]))), F.map_from_entries(F.array().cast("array<struct<cp:int,n:int>>")))
-    work = work.withColumn("_c", counts).withColumn("_h", points)
+    points = F.coalesce(F.map_from_entries(F.transform(f"{p}.points", lambda e: F.struct(e["cp"], e["n"]))), F.map_from_entries(F.array().cast("array<struct<cp:int,n:int>>")))
+    work = work.withColumn(c, counts).withColumn(h, points)
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda a, x: a + x)
     result = F.struct(
-        F.col("_w.text").alias("text"),
-        F.col("_c").alias("counts"),
-        F.col("_h").alias("code_points"),
-        total(F.col("_c")).alias("total"),
-        (total(F.col("_c")) > 0).alias("changed"),
-        total(F.map_filter("_c", lambda k, v: k.isin(*T.HIDDEN_ISSUES))).alias("hidden"),
+        F.col(f"{w}.text").alias("text"),
+        F.col(c).alias("counts"),
+        F.col(h).alias("code_points"),
+        total(F.col(c)).alias("total"),
+        (total(F.col(c)) > 0).alias("changed"),
+        total(F.map_filter(c, lambda k, v: k.isin(*T.HIDDEN_ISSUES))).alias("hidden"),
     )
-    return work.select(*names, F.when(F.col(column).isNotNull(), result).alias(into))
+    return work.select(*others(df, into), F.when(F.col(column).isNotNull(), result).alias(into))
 
 
 def summary(cleaned: Column) -> Column:
@@ -101,14 +103,14 @@ SHORT_NAMES = {
 
 def highlight(df: DataFrame, column: str = "text", into: str = "preview", limit: int = 6000) -> DataFrame:
     """Adds a preview: the first ``limit`` characters with hidden ones shown as ``⟨NAME⟩``."""
-    head = F.substring(F.col(column), 1, limit)
-    spans = hidden.find_hidden(head)
+    head, spans = fresh(df, "head", "spans")
     names = F.create_map(*[F.lit(x) for kv in SHORT_NAMES.items() for x in kv])
     shown = lambda h: F.concat(F.lit("⟨"), F.coalesce(F.try_element_at(names, h["code_point"]), F.concat(F.lit("U+"), F.lpad(F.hex(h["code_point"]), 4, "0"))), F.lit("⟩"))
     made = F.aggregate(
-        F.col("_spans"),
+        F.col(spans),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda s, h: F.struct(F.concat(s["out"], F.substring(F.col("_head"), s["at"], h["cp_start"] + 1 - s["at"]), shown(h)).alias("out"), (h["cp_start"] + 2).alias("at")),
-        lambda s: F.concat(s["out"], F.substring(F.col("_head"), s["at"], F.lit(limit))),
+        lambda s, h: F.struct(F.concat(s["out"], F.substring(F.col(head), s["at"], h["cp_start"] + 1 - s["at"]), shown(h)).alias("out"), (h["cp_start"] + 2).alias("at")),
+        lambda s: F.concat(s["out"], F.substring(F.col(head), s["at"], F.lit(limit))),
     )
-    return df.withColumn("_head", head).withColumn("_spans", spans).select(*df.columns, made.alias(into))
+    cut = F.substring(F.col(column), 1, limit)
+    return df.withColumn(head, cut).withColumn(spans, hidden.find_hidden(F.col(head))).select(*others(df, into), made.alias(into))

@@ -274,12 +274,15 @@ def strip_bytes(b: bytes, fmt: str, options: StripOptions = StripOptions()) -> d
     return {"status": "stripped", "data": b"".join(out.parts), "removed": removed, "notes": out.notes, "reason": None}
 
 
+def strip_rows(contents: list[bytes | None], formats: list[str | None], options: StripOptions = StripOptions()) -> pa.Array:
+    return pa.array([None if x is None else strip_bytes(x, g, options) for x, g in zip(contents, formats, strict=True)], _OUTCOME)
+
+
 def strip_content(content: Column, fmt: Column, options: StripOptions = StripOptions()) -> Column:
     """OUTCOME of in-row payloads; null stays null."""
 
     @F.arrow_udf(OUTCOME)
     def run(contents: pa.Array, formats: pa.Array) -> pa.Array:
-        rows = (None if x is None else strip_bytes(x, g, options) for x, g in zip(contents.to_pylist(), formats.to_pylist(), strict=True))
-        return pa.array(rows, _OUTCOME)
+        return strip_rows(contents.to_pylist(), formats.to_pylist(), options)
 
     return run.asNondeterministic()(content, fmt)

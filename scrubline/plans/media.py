@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scrubline.functions import sniff
+from scrubline.functions.names import fresh, others
 from scrubline.operators import findings
 from scrubline.operators.strip import StripOptions, strip_content
 
@@ -15,18 +16,20 @@ MIN_PIXELS, MAX_PIXELS = 8_000_000, 120_000_000
 
 
 def clean_media(df: DataFrame, content: str = "content", options: StripOptions = StripOptions()) -> DataFrame:
-    """Adds format, before, outcome, after and status to payloads.
+    """Adds format, before, outcome, after and status to payloads; columns of these names are replaced, all others stay.
 
     status: CLEAN (stripped, the re-scan finds nothing that must go), RESIDUAL (something is left), UNSUPPORTED.
     """
-    names = df.columns
-    work = findings.scan(df.withColumn("format", sniff.detect_format(F.col(content))), content, "before")
-    work = work.withColumn("outcome", strip_content(F.col(content), F.col("format"), options))
-    work = findings.scan(work.withColumn("_data", F.col("outcome.data")), "_data", "after").drop("_data")
+    made = ("format", "before", "outcome", "after", "status")
+    payload, data = fresh(df, "payload", "data")
+    work = df.select(*others(df, *[n for n in made if n != content]), F.col(content).alias(payload))
+    work = findings.scan(work.withColumn("format", sniff.detect_format(F.col(payload))), payload, "before")
+    work = work.withColumn("outcome", strip_content(F.col(payload), F.col("format"), options))
+    work = findings.scan(work.withColumn(data, F.col("outcome.data")), data, "after").drop(data)
     facts = findings.report_columns(F.col("after"))
     clean = facts["is_clean"] if options.keep_icc else facts["is_clean_without_icc"]
     status = F.when(F.col("outcome.status") != "stripped", "UNSUPPORTED").when(clean, "CLEAN").otherwise("RESIDUAL")
-    return work.select(*names, "format", "before", "outcome", "after", F.when(F.col("outcome").isNotNull(), status).alias("status"))
+    return work.select(*others(df, *made), *made[:4], F.when(F.col("outcome").isNotNull(), status).alias("status"))
 
 
 def publish_gate(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:

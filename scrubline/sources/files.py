@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from scrubline.functions.names import fresh, others
 from scrubline.operators.strip import StripOptions, strip_video
 
 MAX_BYTES, MAX_TEXT_BYTES, WORK_HOURS = 256 << 20, 2 << 20, 24
@@ -33,12 +34,22 @@ def heads(files: DataFrame, n: int = 256) -> DataFrame:
     return files.select("path", "length", F.substring("content", 1, n).alias("head"))
 
 
+def whole_text(content: Column) -> Column:
+    """UTF-8 with line ends as newlines, a final one dropped."""
+    return F.regexp_replace(F.regexp_replace(F.decode(content, "UTF-8"), "\r\n?", "\n"), "\n\\z", "")
+
+
+def within_limit(files: DataFrame, max_bytes: int = MAX_TEXT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(files up to the limit, the others without content but with an error). files: (content, length, ...). The test is
+    on length alone, so a file source reads no content for it."""
+    return files.where(F.col("length") <= max_bytes), files.where(F.col("length") > max_bytes).drop("content").withColumn("error", F.lit("too_large"))
+
+
 def text_files(spark: SparkSession, path: str, max_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
-    """(path, text, error) of whole files up to the limit: UTF-8, line ends as newlines, a final one dropped."""
-    files = spark.read.format("binaryFile").load(path)
-    small = F.col("length") <= max_bytes
-    text = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n"), "\n\\z", "")
-    return files.select("path", F.when(small, text).alias("text"), F.when(~small, "too_large").alias("error"))
+    """(path, text, error) of whole files up to the limit."""
+    small, large = within_limit(spark.read.format("binaryFile").load(path), max_bytes)
+    read = small.select("path", whole_text(F.col("content")).alias("text"), F.lit(None).cast("string").alias("error"))
+    return read.unionAll(large.select("path", F.lit(None).cast("string"), "error"))
 
 
 def describe(files: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
@@ -68,12 +79,22 @@ def output_name(name: Column, kind: Column, stamp: Column, number: Column, neutr
     return F.when(neutral | looks_generated(name), plain).otherwise(F.concat(F.when(F.trim(base) == "", "file").otherwise(base), F.lit("_clean")))
 
 
-def number_collisions(df: DataFrame, name: str, order: str, into: str = "unique_name") -> DataFrame:
-    """Adds a name made unique by a suffix ``_1``, ``_2``, … in order."""
+def number_collisions(df: DataFrame, name: str, order: str, into: str = "unique_name", salts: int = 64) -> DataFrame:
+    """Adds a name made unique by a suffix ``_1``, ``_2``, …, within each of ``salts`` parts of a name in order.
+
+    A name that very many files share is numbered part by part: only counts of parts meet in one task.
+    """
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn(into, F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))
+    salt, own, before, n = fresh(df, "salt", "own", "before", "n")
+    parts = df.withColumn(salt, F.pmod(F.xxhash64(order), F.lit(salts)).cast("int"))
+    upto = Window.partitionBy(name).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(name, salt).agg(F.count("*").alias(own))
+    starts = counts.select(F.col(name).alias(n), F.col(salt).alias(own), F.coalesce(F.sum(own).over(upto), F.lit(0)).alias(before))
+    numbered = parts.withColumn("_" + n, F.row_number().over(Window.partitionBy(name, salt).orderBy(order)) - 1)
+    joined = numbered.join(starts, F.col(name).eqNullSafe(F.col(n)) & (F.col(salt) == F.col(own)))
+    at = F.col("_" + n) + F.col(before)
+    return joined.select(*others(df, into), F.when(at == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), at.cast("string"))).alias(into))
 
 
 def looks_generated(name: Column) -> Column:
@@ -108,16 +129,16 @@ def report_lines(found: DataFrame) -> DataFrame:
 
 
 def write_videos(files: DataFrame, folder: str, options: StripOptions = StripOptions()) -> DataFrame:
-    """Path mode for videos of any size on mounted storage: (path, output, bytes, removed, error).
+    """Path mode for videos of any size on mounted storage: (path, output, bytes, removed, error). The folder must be one
+    that all executors share.
 
-    Each output is written under a temporary name and renamed when complete, so a lost task leaves nothing half done
+    Outputs of files with one base name are numbered. Each output is written under a temporary name and renamed when complete, so a lost task leaves nothing half done
     under the final name, and a repeated task replaces it with the same bytes.
     """
     schema = pa.schema([("path", pa.string()), ("output", pa.string()), ("bytes", pa.int64()), ("removed", pa.int64()), ("error", pa.string())])
 
-    def one(path: str) -> dict:
-        name, ext = os.path.splitext(os.path.basename(path))
-        final = os.path.join(folder.removeprefix("file:"), f"{name}_clean{ext}")
+    def one(path: str, name: str, ext: str) -> dict:
+        final = os.path.join(folder.removeprefix("file:"), f"{name}{ext}")
         part = f"{final}.{os.getpid()}.part"
         try:
             with open(path.removeprefix("file:"), "rb") as f, open(part, "wb") as o:
@@ -131,6 +152,12 @@ def write_videos(files: DataFrame, folder: str, options: StripOptions = StripOpt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([one(p) for p in batch.column(0).to_pylist()], schema=schema)
-
-    return files.select("path").mapInArrow(run, "path string, output string, bytes long, removed long, error string")
+            yield pa.RecordBatch.from_pylist([one(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)], schema=schema)
+
+    last = F.element_at(F.split("path", "/"), -1)
+    ext = F.regexp_extract(last, "(?<=[^.])\\.[^.]*\\z", 0)
+    named = files.select("path", ext.alias("ext"), F.concat(F.regexp_replace(last, "(?<=[^.])\\.[^.]*\\z", ""), F.lit("_clean"), ext).alias("output"))
+    unique = number_collisions(named, "output", "path").select("path", F.col("unique_name"), "ext", "output")
+    number = F.regexp_extract(F.substring(F.col("unique_name"), F.length("output") + 1, F.length("unique_name")), "_[0-9]+", 0)
+    stem = F.concat(F.substring(F.col("output"), F.lit(1), F.length("output") - F.length("ext")), number)
+    return unique.select("path", stem.alias("stem"), "ext").mapInArrow(run, "path string, output string, bytes long, removed long, error string")

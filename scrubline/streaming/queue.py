@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from scrubline.functions.names import fresh
 from scrubline.functions.text import TextOptions
 from scrubline.operators.sanitize import clean_text
 from scrubline.operators.strip import StripOptions
@@ -63,22 +64,32 @@ def batch_finished(items: DataFrame) -> DataFrame:
     return items.groupBy("batch").agg(F.bool_and(F.col("status").isin(*TERMINAL)).alias("finished"), F.count("*").alias("items"), F.count_if(F.col("status") == "FAILED").alias("failed")).where("finished").drop("finished")
 
 
-def finished_once(events: DataFrame) -> DataFrame:
-    """The same over a stream of (batch, id, status) events: each batch is reported once, when its last item ends."""
+def finished_once(events: DataFrame, time: str | None = None, delay: str = "1 hour", forget_after_ms: int = 3_600_000) -> DataFrame:
+    """The same over a stream of (batch, id, status) events: each batch is reported once, when its last item ends.
+
+    A reported batch keeps no items. With ``time`` (a timestamp column) it is forgotten ``forget_after_ms`` after the
+    watermark, which trails by ``delay``; an event that comes still later begins it anew. Without, a mark of each reported
+    batch stays. A batch with open items is kept.
+    """
 
     def update(key: tuple, chunks: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         ids, statuses, told = state.get if state.exists else ([], [], False)
         now = dict(zip(ids, statuses, strict=True))
         for chunk in chunks:
             now |= dict(zip(chunk["id"].tolist(), chunk["status"].tolist(), strict=True))
-        over = bool(now) and all(s in TERMINAL for s in now.values())
+        over = told or bool(now) and all(s in TERMINAL for s in now.values())
         if over and not told:
             yield pd.DataFrame({"batch": [key[0]], "items": [len(now)], "failed": [sum(s == "FAILED" for s in now.values())]})
-        state.update((list(now), list(now.values()), told or over))
+        state.update(([], [], True) if over else (list(now), list(now.values()), False))
+        if over and time:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + forget_after_ms)
 
-    return events.groupBy("batch").applyInPandasWithState(
-        update, "batch long, items long, failed long", "ids array<long>, statuses array<string>, told boolean", "append", GroupStateTimeout.NoTimeout
-    )
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    timed = events.withWatermark(time, delay) if time else events
+    return timed.groupBy("batch").applyInPandasWithState(update, "batch long, items long, failed long", "ids array<long>, statuses array<string>, told boolean", "append", timeout)
 
 
 def apply_controls(items: DataFrame, controls: DataFrame) -> DataFrame:
@@ -106,5 +117,6 @@ def changed_only(edits: DataFrame, time: str = "ts", text: str = "text", key: st
     """Edits whose text differs from the one before."""
     from pyspark.sql import Window
 
-    before = F.lag(text).over(Window.partitionBy(key).orderBy(time))
-    return edits.withColumn("_before", before).where(~F.col(text).eqNullSafe(F.col("_before"))).drop("_before")
+    (before,) = fresh(edits, "before")
+    last = F.lag(text).over(Window.partitionBy(key).orderBy(time))
+    return edits.withColumn(before, last).where(~F.col(text).eqNullSafe(F.col(before))).drop(before)

@@ -179,3 +179,62 @@ def test_path_mode_equals_cell_mode(spark, tmp_path):
     by_cell = {r.path: r.report for r in findings.scan(files).select("path", "report").collect()}
     by_path = blocks.parse_files(files).select("path", findings.report_of(F.col("format"), F.col("parsed")).alias("report")).collect()
     assert {r.path: r.report for r in by_path} == by_cell
+
+
+def test_columns_of_a_caller_stay(spark):
+    from scrubline.operators import findings
+    from scrubline.plans import media, samples
+
+    df = samples.sample_files(spark).where("path IN ('jpeg_rich', 'gif_rich')").selectExpr("path", "content", "'mine' AS format", "1 AS _format", "2 AS _parsed", "3 AS _data", "4 AS _payload", "'s' AS status")
+    got = media.clean_media(df)
+    assert got.columns == ["path", "content", "_format", "_parsed", "_data", "_payload", "format", "before", "outcome", "after", "status"]
+    rows = {r.path: r for r in got.collect()}
+    assert rows["jpeg_rich"].format == "JPEG" and rows["gif_rich"].status == "CLEAN" and (rows["gif_rich"]._format, rows["gif_rich"]._parsed, rows["gif_rich"]._data, rows["gif_rich"]._payload) == (1, 2, 3, 4)
+    assert findings.scan(df).select("format", "_format", "_parsed").distinct().collect() == [("mine", 1, 2)]
+
+
+def test_findings_are_kept_once_in_order(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from scrubline.operators import findings
+
+    rng = random.Random(2)
+    rows, expected = [], {}
+    for file in range(20):
+        seen, found = set(), []
+        for seq in range(rng.choice([0, 1, 5, 60])):
+            kind, place, detail = rng.choice(["C2PA", "AI_GENERATOR", "TEXT"]), rng.choice("xyz"), rng.choice(["p", "q", None])
+            found.append((kind, place, detail))
+            rows.append((file, seq, kind, place, detail))
+            value = (kind, "" if kind == "AI_GENERATOR" else place, detail)
+            if value not in seen:
+                seen.add(value)
+                expected.setdefault(file, []).append((seq, kind, place, detail))
+    df = spark.createDataFrame(rows, "file int, seq int, kind string, location string, detail string")
+    flat = sorted((r.file, r.seq, r.kind, r.location, r.detail) for r in findings.once_a_file(df, ["file"]).collect())
+    assert flat == sorted((f, *v) for f, vs in expected.items() for v in vs)
+    lists = df.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "location", "detail"))).alias("found"))
+    got = lists.select("file", findings.once(F.transform("found", lambda x: F.struct(x["kind"], x["location"], x["detail"]))).alias("found"))
+    assert {r.file: [tuple(x) for x in r.found] for r in got.collect()} == {f: [v[1:] for v in vs] for f, vs in expected.items()}
+
+
+def test_formats_are_told_alike_in_both_modes(spark):
+    import random
+
+    from pyspark.sql import functions as F
+    from scrubline.functions import sniff
+    from scrubline.operators import blocks
+    from scrubline.plans import samples
+
+    rng = random.Random(8)
+    heads = [v[:300] for v in samples.samples().values()]
+    for v in list(heads):
+        for _ in range(6):
+            b = bytearray(v[: rng.randint(0, 60)])
+            for _ in range(rng.randint(0, 2)):
+                if b:
+                    b[rng.randrange(min(len(b), 24))] = rng.choice(b"ftypavifheicmif1MRIFWEBPGBM8\0\xff")
+            heads.append(bytes(b))
+    got = spark.createDataFrame([(bytearray(b),) for b in heads], "b binary").select("b", sniff.detect_format(F.col("b")).alias("f")).collect()
+    assert [r.f for r in got] == [blocks.detect(bytes(r.b)[: sniff.HEAD_BYTES]) for r in got]

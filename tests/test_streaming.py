@@ -110,3 +110,55 @@ def test_cli_and_sql_names(spark, tmp_path, capsys):
     spark.createDataFrame([("a\u200bb",)], "t string").createOrReplaceTempView("hidden_in")
     assert [tuple(r) for r in spark.sql("SELECT h.* FROM hidden_in, LATERAL find_hidden(t) h").collect()] == [(1, 0x200B, "INVISIBLE")]
     assert spark.sql("SELECT sniff_format(X'FFD8FFE000104A4649460001')").first()[0] == "JPEG"
+
+
+def test_outputs_of_one_base_name_are_numbered(spark, tmp_path):
+    from scrubline.plans import samples
+
+    for folder in "abc":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.v1.mp4").write_bytes(samples.mp4_rich())
+    out = tmp_path / "out"
+    out.mkdir()
+    got = files.write_videos(spark.read.format("binaryFile").load(str(tmp_path / "*" / "*.mp4")), str(out)).collect()
+    assert all(r.error is None for r in got)
+    assert sorted(p.name for p in out.iterdir()) == ["x.v1_clean.mp4", "x.v1_clean_1.mp4", "x.v1_clean_2.mp4"]
+
+
+def test_many_files_of_one_name_are_numbered_without_a_gap(spark):
+    df = spark.range(5000).selectExpr("id AS k", "IF(id % 7 = 0, 'rare' || id, 'video') AS name", "1 AS _salt")
+    got = files.number_collisions(df, "name", "k")
+    assert got.columns == ["k", "name", "_salt", "unique_name"]
+    n = df.where("name = 'video'").count()
+    assert sorted(r.unique_name for r in got.where("name = 'video'").collect()) == sorted(["video", *(f"video_{i}" for i in range(1, n))])
+
+
+def test_oversized_texts_are_not_read(spark, tmp_path):
+    (tmp_path / "small").write_text("ok\r\n")
+    (tmp_path / "large").write_text("x" * 100)
+    got = files.text_files(spark, str(tmp_path), 50)
+    assert sorted((r.path[-5:], r.text, r.error) for r in got.collect()) == [("large", None, "too_large"), ("small", "ok", None)]
+    assert "LessThanOrEqual(length,50)" in got._jdf.queryExecution().toString()
+
+
+def test_only_line_ends_split_lines():
+    from scrubline import cli
+
+    assert cli.lines("a b\x0bc\x85d\r\ne\rf\n") == "a b\x0bc\x85d\ne\nf"
+
+
+def test_reported_batches_are_forgotten(spark, tmp_path):
+    src, out = tmp_path / "events", tmp_path / "out"
+    schema = "batch long, id long, status string, ts timestamp"
+    t = datetime.datetime(2024, 1, 1)
+    steps = [[(1, 1, "DONE", t)], [(2, 2, "DONE", t + datetime.timedelta(hours=9))], [(3, 3, "QUEUED", t + datetime.timedelta(hours=20))]]
+    sizes = []
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        stream = queue.finished_once(spark.readStream.schema(schema).parquet(str(src)), "ts", "1 hour", 1000)
+        q = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        sizes.append([p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1])
+        q.stop()
+    assert sorted(map(tuple, spark.read.parquet(str(out)).select("batch", "items", "failed").collect())) == [(1, 1, 0), (2, 1, 0)]
+    assert sizes[-1] <= 2  # batch 1 at least is gone

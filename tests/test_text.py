@@ -137,3 +137,14 @@ def test_summary_preview_and_names(spark):
 def test_clean_texts_never_reach_python(spark):
     plan = clean_text(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
+
+
+def test_work_columns_clash_with_none(spark):
+    rows = [("a​b", 1, 2, 3, 4, 5, 6, 7, 8, 9, 0)]
+    df = spark.createDataFrame(rows, "text string, _a int, _m int, _p int, _t int, _w int, _C int, _h int, __a int, _head int, _spans int")
+    got = clean_text(df)
+    assert got.columns == [*df.columns, "cleaned"] and tuple(got.first())[:11] == rows[0] and got.first().cleaned.text == "ab"
+    shown = highlight(df)
+    assert shown.columns == [*df.columns, "preview"] and tuple(shown.first())[:11] == rows[0] and shown.first().preview == "a⟨ZWSP⟩b"
+    again = clean_text(got, into="cleaned")
+    assert again.columns == got.columns and again.first().cleaned.total == 1
