@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from scrubline.functions import hidden, markdown, sniff, text as T
 from scrubline.functions.text import TextOptions
 from scrubline.operators import findings
+from scrubline.operators.blocks import find_tokens
 from scrubline.operators.sanitize import clean_text, summary
 from scrubline.plans import media, samples
 from scrubline.sources import files
@@ -56,7 +57,7 @@ def _count_sql(text: str, pattern: str) -> str:
 
 # -- hidden characters --------------------------------------------------------------------------------------------------
 
-HIDDEN = [(7, "\u200b"), (5, "\u00a0"), (11, "\u202e"), (13, "\x07"), (17, "\ufeff\u2028"), (19, "\ue000"), (23, "\U000e0002")]
+HIDDEN = [(7, "\u200b"), (5, "\u00a0"), (11, "\u202e"), (13, "\x07"), (17, "\ufeff\u2028"), (19, "\ue000"), (23, "\U000e0002"), (29, "\xad\u034f\u115f"), (31, "\u3164\u3000\u2003"), (37, "\u2063\u2029\u180e"), (41, "\U0001d173\u1680\ufff9"), (43, "\x80\u206a\u17b4\uffa0")]
 _CLASSES = {
     "BIDI": "[\\x{202A}-\\x{202E}]",
     "CONTROL": "[\\x{0}-\\x{8}\\x{B}-\\x{1F}\\x{7F}-\\x{9F}]",
@@ -92,9 +93,9 @@ h AS (SELECT unnest(regexp_extract_all(t, '{_re2(_GONE)}|{_CLASSES["SPECIAL_SPAC
 SELECT CAST(ord(ch) AS INTEGER) AS code_point, count(*) AS n FROM h GROUP BY ch"""
 )
 def hidden_code_point_histogram(spark, sf_dir):
-    hits = F.regexp_extract_all(F.col("text"), F.lit("(" + T.beyond_latin(T.HAZARD) + ")"), 1)
-    chars = _hidden_docs(spark, sf_dir).select(F.explode(hits).alias("ch"))
-    return chars.groupBy("ch").count().select(F.element_at(T.code_points(F.col("ch")), 1).alias("code_point"), F.col("count").alias("n"))
+    """The counter's code points over all texts."""
+    chars = clean_text(_hidden_docs(spark, sf_dir), "text").select(F.explode("cleaned.code_points").alias("code_point", "n"))
+    return chars.groupBy("code_point").agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -129,14 +130,20 @@ def text_clean_full(spark, sf_dir):
     return c.select("doc_id", F.md5("cleaned.text").alias("digest"), "cleaned.total", "cleaned.hidden", "cleaned.changed", summary(F.col("cleaned")).alias("summary"))
 
 
+_SPREAD = [(3, "\u200b"), (4, "\u202e"), (25, "\U0001f600\u2060")]
+
+
 @query(
-    f"""WITH d AS (SELECT doc_id, {_plant_sql("text", "doc_id", [(3, chr(0x200B)), (4, chr(0x202E)), (25, chr(0x1F600) + chr(0x2060))])} AS t FROM documents)
-SELECT doc_id, i - 1 AS cp_start, i - 1 + CASE WHEN instr(t, chr(128512)) BETWEEN 1 AND i - 1 THEN 1 ELSE 0 END AS start,
-  CAST(ord(substring(t, i, 1)) AS INTEGER) AS code_point, CASE WHEN substring(t, i, 1) = chr(8238) THEN 'BIDI' ELSE 'INVISIBLE' END AS issue
-FROM d, unnest(range(1, 12)) AS r(i) WHERE i <= length(t) AND substring(t, i, 1) IN (chr(8203), chr(8238), chr(8288))"""
+    f"""WITH d AS (SELECT doc_id, {_plant_sql("text", "doc_id", _SPREAD)} || CASE WHEN doc_id % 7 = 0 THEN chr(8203) || 'z' || chr(8288) ELSE '' END AS t FROM documents),
+c AS (SELECT doc_id, string_split(t, '') AS c FROM d WHERE regexp_matches(t, '[\\x{{200B}}\\x{{202E}}\\x{{2060}}]'))
+SELECT doc_id, i - 1 AS cp_start, i - 1 + len(list_filter(list_slice(c, 1, i - 1), lambda x: ord(x) > 65535)) AS start,
+  CAST(ord(c[i]) AS INTEGER) AS code_point, CASE WHEN c[i] = chr(8238) THEN 'BIDI' ELSE 'INVISIBLE' END AS issue
+FROM c, unnest(range(1, len(c) + 1)) AS r(i) WHERE c[i] IN (chr(8203), chr(8238), chr(8288))"""
 )
 def find_hidden_chars(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", _plant(F.col("text"), F.col("doc_id"), [(3, "\u200b"), (4, "\u202e"), (25, "\U0001f600\u2060")]).alias("text"))
+    """Places in code points and in UTF-16 units, near the start and at the end of whole texts."""
+    planted = F.concat(_plant(F.col("text"), F.col("doc_id"), _SPREAD), F.when(F.col("doc_id") % 7 == 0, "\u200bz\u2060").otherwise(""))
+    d = _table(spark, sf_dir, "documents").select("doc_id", planted.alias("text"))
     rows = d.select("doc_id", F.explode(hidden.find_hidden(F.col("text"))).alias("h"))
     return rows.select("doc_id", F.col("h.cp_start").cast("long").alias("cp_start"), F.col("h.start").cast("long").alias("start"), "h.code_point", "h.issue")
 
@@ -170,21 +177,31 @@ def code_point_labels(spark, sf_dir):
 
 # -- artifacts, typography, white space ---------------------------------------------------------------------------------
 
+#: What the engine's vocabularies must hold, written out again so that an error in them shows. Fixed values.
+_TURN_KINDS = "search|news|view|fetch|file|image|product|forecast|finance|sports|time|calc|academia|reddit|youtube|video|map|place"
+_TURN_PREFIXES = "cite|filecite|navlist|image_group|entity|product_entity|genui|video_group|forecast|finance|sports|schedule"
+_REFERRERS = (
+    "chatgpt\\.com|chat\\.openai\\.com|openai(?:\\.com)?|perplexity(?:\\.ai)?|copilot\\.com|copilot|bing\\.com/chat|chat\\.deepseek\\.com|deepseek|"
+    "gemini(?:\\.google\\.com)?|bard|claude(?:\\.ai)?|anthropic|grok(?:\\.com)?|x\\.ai|you\\.com|phind(?:\\.com)?|mistral(?:\\.ai)?|chat\\.mistral\\.ai|"
+    "meta\\.ai|poe(?:\\.com)?|kimi(?:\\.ai)?|chat\\.qwen\\.ai|qwen"
+)
+_TRACKED = f"(?:utm_source=(?:{_REFERRERS})(?:%2F|/)?|form=MG0AV3|ref=(?:chatgpt|perplexity|copilot|gemini|claude))"
+
 _CITED = " \ue200cite\ue202turn0search0\ue201"
 _CITED_PLAIN = [(2, " citeturn0search1turn2news3L1-L2"), (3, "【4:0†source】"), (5, "[^12^]"), (7, _CITED)]
 
 
 @query(
-    f"""WITH a AS (SELECT conv_id, turn, {_plant_sql("text", "(conv_id + turn)", _CITED_PLAIN)} AS t FROM conversations WHERE role = 'assistant'),
+    f"""WITH a AS (SELECT conv_id, turn, {_plant_sql("text", "(conv_id + turn)", _CITED_PLAIN)} AS t FROM conversations),
 b AS (SELECT conv_id, turn, t, regexp_replace(t, '[ \\t]*\\x{{E200}}[^\\x{{E201}}\\n]{{0,400}}\\x{{E201}}', '', 'g') AS t1 FROM a),
-c AS (SELECT *, regexp_replace(t1, '[ \\t]*(?:{T.TURN_PREFIXES})?(?:turn\\d+(?:{T.TURN_KINDS})\\d+(?:L\\d+-L\\d+)?)+', '', 'g') AS t2 FROM b),
+c AS (SELECT *, regexp_replace(t1, '[ \\t]*(?:{_TURN_PREFIXES})?(?:turn\\d+(?:{_TURN_KINDS})\\d+(?:L\\d+-L\\d+)?)+', '', 'g') AS t2 FROM b),
 d AS (SELECT *, regexp_replace(t2, '[ \\t]*\\x{{3010}}\\d+(?::\\d+)?\\x{{2020}}[^\\x{{3011}}\\n]{{0,200}}\\x{{3011}}', '', 'g') AS t3 FROM c)
 SELECT conv_id, turn, md5(regexp_replace(t3, '\\[\\^\\d{{1,3}}\\^\\]', '', 'g')) AS digest,
-  {_count_sql("t", "[ \\t]*\\x{E200}[^\\x{E201}\\n]{0,400}\\x{E201}")} + {_count_sql("t1", f"[ \\t]*(?:{T.TURN_PREFIXES})?(?:turn\\d+(?:{T.TURN_KINDS})\\d+(?:L\\d+-L\\d+)?)+")}
+  {_count_sql("t", "[ \\t]*\\x{E200}[^\\x{E201}\\n]{0,400}\\x{E201}")} + {_count_sql("t1", f"[ \\t]*(?:{_TURN_PREFIXES})?(?:turn\\d+(?:{_TURN_KINDS})\\d+(?:L\\d+-L\\d+)?)+")}
   + {_count_sql("t2", "[ \\t]*\\x{3010}\\d+(?::\\d+)?\\x{2020}[^\\x{3011}\\n]{0,200}\\x{3011}")} + {_count_sql("t3", "\\[\\^\\d{1,3}\\^\\]")} AS n FROM d"""
 )
 def citations_removed(spark, sf_dir):
-    a = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    a = _table(spark, sf_dir, "conversations")
     c = a.select("conv_id", "turn", T.remove_citations(_plant(F.col("text"), F.col("conv_id") + F.col("turn"), _CITED_PLAIN)).alias("c"))
     return c.select("conv_id", "turn", F.md5("c.text").alias("digest"), F.col("c.AI_CITATIONS").cast("long").alias("n"))
 
@@ -218,9 +235,9 @@ def _tracked(url: Column, key: Column) -> Column:
 @query(
     f"""WITH a AS (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || CASE page_id % 5 WHEN 0 THEN 'utm_source=chatgpt.com'
   WHEN 1 THEN 'UTM_SOURCE=Perplexity&page=2' WHEN 2 THEN 'ref=claude#top' WHEN 3 THEN 'form=MG0AV3.' ELSE 'utm_source=newsletter' END AS u FROM pages),
-b AS (SELECT page_id, u, regexp_replace(u, '(?i)([?&]){_re2(T.TRACKED)}&', '\\1', 'g') AS v FROM a)
-SELECT page_id, regexp_replace(v, '(?i)[?&]{_re2(T.TRACKED)}([#\\s)\\]>".,;!]|$)', '\\1', 'g') AS url,
-  {_count_sql("u", "(?i)[?&]" + T.TRACKED + "&")} + {_count_sql("v", "(?i)[?&]" + T.TRACKED + '(?:[#\\s)\\]>".,;!]|$)')} AS n FROM b"""
+b AS (SELECT page_id, u, regexp_replace(u, '(?i)([?&]){_re2(_TRACKED)}&', '\\1', 'g') AS v FROM a)
+SELECT page_id, regexp_replace(v, '(?i)[?&]{_re2(_TRACKED)}([#\\s)\\]>".,;!]|$)', '\\1', 'g') AS url,
+  {_count_sql("u", "(?i)[?&]" + _TRACKED + "&")} + {_count_sql("v", "(?i)[?&]" + _TRACKED + '(?:[#\\s)\\]>".,;!]|$)')} AS n FROM b"""
 )
 def tracking_removed(spark, sf_dir):
     """Referral parameters of chatbots go, others (utm_source=feed) stay."""
@@ -265,9 +282,18 @@ def whitespace_trim(spark, sf_dir):
 # -- Markdown -----------------------------------------------------------------------------------------------------------
 
 
+def _one_line(text: Column) -> Column:
+    """A whole text without Markdown and line ends, so that SQL can follow the planted rules; those on raw texts are in
+    md_lines_whole and md_fences_whole."""
+    return F.concat(F.lit("w"), F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " "), F.lit("w"))
+
+
+_ONE_LINE = "'w' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g') || 'w'"
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations").where("turn < 2")
-    word = F.regexp_extract("text", "^(\\w+)", 1)
+    c = _table(spark, sf_dir, "conversations")
+    word = _one_line(F.col("text"))
     marked = F.array(
         F.concat(F.lit("## "), word, F.lit(" ##")), F.concat(F.lit("> "), word), F.concat(F.lit("- [x] "), word), F.concat(F.lit("  * "), word), F.concat(F.lit("| a |"), word, F.lit(" |")),
         F.concat(F.lit("<https://e.example/"), word, F.lit(">")), F.concat(F.lit("`"), word, F.lit("` ``y``")), F.concat(F.lit("\\*"), word, F.lit("\\_")), F.lit("|---|:--:|"), F.lit("* * *"), word,
@@ -275,9 +301,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.posexplode(marked).alias("k", "line"))
 
 
-_LINES_SQL = """SELECT conv_id, turn, k, CASE k WHEN 0 THEN '## ' || w || ' ##' WHEN 1 THEN '> ' || w WHEN 2 THEN '- [x] ' || w WHEN 3 THEN '  * ' || w WHEN 4 THEN '| a |' || w || ' |'
+_LINES_SQL = f"""SELECT conv_id, turn, k, CASE k WHEN 0 THEN '## ' || w || ' ##' WHEN 1 THEN '> ' || w WHEN 2 THEN '- [x] ' || w WHEN 3 THEN '  * ' || w WHEN 4 THEN '| a |' || w || ' |'
   WHEN 5 THEN '<https://e.example/' || w || '>' WHEN 6 THEN '`' || w || '` ``y``' WHEN 7 THEN '\\*' || w || '\\_' WHEN 8 THEN '|---|:--:|' WHEN 9 THEN '* * *' ELSE w END AS line
-FROM (SELECT conv_id, turn, regexp_extract(text, '^(\\w+)', 1) AS w FROM conversations WHERE turn < 2), unnest(range(0, 11)) AS r(k)"""
+FROM (SELECT conv_id, turn, {_ONE_LINE} AS w FROM conversations), unnest(range(0, 11)) AS r(k)"""
 
 
 @query(
@@ -294,15 +320,13 @@ def md_lines(spark, sf_dir):
 
 
 @query(
-    """WITH t AS (SELECT conv_id, turn, '# ' || text || chr(10) || '```py' || chr(10) || '**kept**' || chr(10) || '```' || chr(10) || '* item' AS t FROM conversations WHERE turn = 0 AND NOT contains(text, chr(10)))
-SELECT conv_id, turn, md5(text || chr(10) || '**kept**' || chr(10) || '• item') AS digest, CAST(4 AS BIGINT) AS n FROM conversations JOIN t USING (conv_id, turn)
-WHERE NOT regexp_matches(text, '[*_`~\\\\<>\\[\\]#|]')"""
+    f"""SELECT conv_id, turn, md5({_ONE_LINE} || chr(10) || '**kept**' || chr(10) || '• item') AS digest, CAST(4 AS BIGINT) AS n FROM conversations"""
 )
 def md_fences(spark, sf_dir):
     """Fence lines go, what they enclose stays as it is."""
-    c = _table(spark, sf_dir, "conversations").where("turn = 0").where(~F.col("text").contains("\n") & ~F.col("text").rlike("[*_`~\\\\<>\\[\\]#|]"))
-    t = F.concat(F.lit("# "), F.col("text"), F.lit("\n```py\n**kept**\n```\n* item"))
-    return c.select("conv_id", "turn", markdown.strip_markdown(t).alias("c")).select("conv_id", "turn", F.md5("c.text").alias("digest"), F.col("c.MARKDOWN").cast("long").alias("n"))
+    t = F.concat(F.lit("# "), _one_line(F.col("text")), F.lit("\n```py\n**kept**\n```\n* item"))
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", markdown.strip_markdown(t).alias("c"))
+    return c.select("conv_id", "turn", F.md5("c.text").alias("digest"), F.col("c.MARKDOWN").cast("long").alias("n"))
 
 
 @query()
@@ -337,18 +361,45 @@ def md_fences_whole(spark, sf_dir):
 
 # -- provenance vocabularies --------------------------------------------------------------------------------------------
 
-PHRASES = ("made with Midjourney", "DALL·E 3 by OpenAI", "trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "Negative prompt: x", "Stable-Diffusion XL", "gemini nano_banana", "geminis")
-_PHRASE_SQL = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{p} '" for i, p in enumerate(PHRASES)) + " ELSE '' END"
+PHRASES = (
+    "made with Midjourney", "DALL·E 3 by OpenAI", "trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "Negative prompt: x", "Stable-Diffusion XL", "gemini nano_banana", "geminis",
+    "Magic Eraser", "Adobe Firefly", "Bing Image Creator", "ComfyUI", "Fooocus", "FLUX.1 dev", "Meta AI", "Grok", "Ideogram", "Pika Labs", "Kling", "Image Playground", "Galaxy AI", "Picsart AI",
+    "AI-generated", "algorithmicMedia", "algorithmicallyEnhanced", "compositeSynthetic", "dataDrivenMedia", "Imagen 3", "google ai", "imagine", "flux", "notgrok",
+)
+_PHRASE_SQL = f"CASE doc_id % {len(PHRASES) + 1} " + " ".join(f"WHEN {i} THEN '{p} '" for i, p in enumerate(PHRASES)) + " ELSE '' END"
+#: The vocabularies, written out again so that an error in the engine's shows. Fixed values.
+_GENERATORS = (
+    ("OpenAI / ChatGPT", "\\bopenai\\b|chatgpt|dall[-·.\\s]?e|gpt-image|gpt-4o|\\bsora\\b"),
+    ("Google Gemini / Imagen", "\\bgemini\\b|google imagen|\\bimagen[\\s-]?[234]\\b|nano[\\s_-]?banana|google ai|synthid|google veo|\\bveo[\\s-]?[23]\\b|google deepmind|made with google"),
+    ("Google Photos (AI)", "magic editor|magic eraser|edited with google ai"),
+    ("Adobe Firefly", "firefly|generative fill|generative expand|adobe gen"),
+    ("Microsoft Designer / Copilot", "bing image creator|microsoft designer|\\bcopilot\\b|azure openai"),
+    ("Midjourney", "midjourney"),
+    ("Stable Diffusion", "stable[\\s_-]?diffusion|stability\\.?ai|\\bsdxl\\b|automatic1111|negative prompt:|sampler:\\s|cfg scale:"),
+    ("ComfyUI", "comfyui|\"class_type\"|ksampler"),
+    ("InvokeAI / Fooocus / NovelAI", "invokeai|sd-metadata|fooocus|novelai|\\bnai diffusion\\b"),
+    ("Flux / Black Forest Labs", "black forest labs|\\bflux\\.?1\\b|flux[\\s._-]?(?:pro|dev|schnell|kontext)"),
+    ("Meta AI", "meta ai|imagine with meta|\\bemu edit\\b"),
+    ("xAI Grok", "\\bgrok\\b|\\bx\\.ai\\b|grok imagine|grok-\\d"),
+    ("Leonardo / Ideogram / Recraft", "leonardo\\.?ai|ideogram|recraft"),
+    ("Runway / Luma / Pika", "runwayml|\\brunway\\b|luma ai|dream machine|pika labs|\\bpika\\b"),
+    ("Kling / Hailuo / AIGC label", "\\bkling\\b|kuaishou|hailuo|minimax|jimeng|doubao|seedream|seedance|bytedance|tongyi|wanx|qwen|hunyuan|\\baigc\\b|contentproducer|contentpropagator|produceid"),
+    ("Apple Image Playground", "image playground|apple intelligence|genmoji"),
+    ("Samsung Galaxy AI", "galaxy ai|generative edit|sketch to image"),
+    ("Other AI editors", "canva ai|magic media|krea\\.ai|playground ai|freepik ai|picsart ai|lensa ai|remini|faceapp|topaz (?:photo|gigapixel|labs)|luminar neo|photoroom"),
+    ("AI-created label", "\\bai[\\s-]generated\\b|generated (?:by|with) ai\\b|made with ai\\b|created with ai\\b"),
+)
+_SOURCE_TYPES = ("compositeWithTrainedAlgorithmicMedia", "trainedAlgorithmicMedia", "algorithmicallyEnhanced", "compositeSynthetic", "algorithmicMedia", "dataDrivenMedia")
 
 
 def _phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = F.coalesce(F.try_element_at(F.array(*[F.lit(p + " ") for p in PHRASES]), (F.col("doc_id") % 9 + 1).cast("int")), F.lit(""))
+    picked = F.coalesce(F.try_element_at(F.array(*[F.lit(p + " ") for p in PHRASES]), (F.col("doc_id") % (len(PHRASES) + 1) + 1).cast("int")), F.lit(""))
     return _table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(picked, "text").alias("text"))
 
 
 @query(
     "WITH d AS (SELECT doc_id, " + _PHRASE_SQL + " || text AS t FROM documents), m AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS generator FROM d WHERE regexp_matches(t, '(?i)(?:{_re2(p)})')" for n, p in findings.GENERATORS)
+    + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS generator FROM d WHERE regexp_matches(t, '(?i)(?:{_re2(p)})')" for n, p in _GENERATORS)
     + ") SELECT generator, count(*) AS docs, min(doc_id) AS first_doc FROM m GROUP BY generator"
 )
 def generators(spark, sf_dir):
@@ -358,7 +409,7 @@ def generators(spark, sf_dir):
 
 @query(
     "WITH d AS (SELECT doc_id, " + _PHRASE_SQL + " || text AS t FROM documents), m AS ("
-    + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS source_type FROM d WHERE regexp_matches(t, '(?i)(^|[^A-Za-z]){n}')" for n in findings.SOURCE_TYPES)
+    + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS source_type FROM d WHERE regexp_matches(t, '(?i)(^|[^A-Za-z]){n}')" for n in _SOURCE_TYPES)
     + ") SELECT source_type, count(*) AS docs FROM m GROUP BY source_type"
 )
 def source_types(spark, sf_dir):
@@ -428,11 +479,8 @@ _SEVERITY_SQL = "CASE WHEN kind IN ('C2PA','AI_GENERATOR') THEN 'AI' WHEN kind I
 SELECT file, seq, kind, location, detail FROM f QUALIFY row_number() OVER (PARTITION BY file, kind, CASE WHEN kind = 'AI_GENERATOR' THEN '' ELSE location END, detail ORDER BY seq) = 1"""
 )
 def findings_dedup(spark, sf_dir):
-    from pyspark.sql import Window
-
-    where = F.when(F.col("kind").isin("AI_GENERATOR", "AI_SOURCE_TYPE"), "").otherwise(F.col("location"))
-    first = F.row_number().over(Window.partitionBy("file", "kind", where, "detail").orderBy("seq"))
-    return _derived(spark, sf_dir).withColumn("n", first).where("n = 1").select("file", "seq", "kind", "location", "detail")
+    found = _derived(spark, sf_dir).select("file", "seq", "kind", "location", "detail")
+    return findings.once_a_file(found, ["file"])
 
 
 @query(
@@ -514,8 +562,9 @@ _HEADS = {k: v[:64] for k, v in samples.samples().items() if v}
 
 
 @query(
-    "WITH v(name, h) AS (VALUES " + ", ".join(f"('{k}', '{v.hex().upper()}')" for k, v in _HEADS.items()) + """), t AS (SELECT name, h, CASE WHEN length(h) < 24 THEN '' ELSE h END AS x FROM v)
-SELECT name, CASE WHEN x = '' THEN 'UNKNOWN' WHEN x LIKE 'FFD8FF%' THEN 'JPEG' WHEN x LIKE '89504E470D0A1A0A%' THEN 'PNG' WHEN x LIKE '52494646________57454250%' THEN 'WEBP'
+    "WITH v AS (SELECT page_id, list_extract([" + ", ".join(f"'{v.hex().upper()}'" for v in _HEADS.values()) + f"""], CAST(page_id % {len(_HEADS)} + 1 AS BIGINT)) || CASE WHEN page_id % 2 = 0 THEN hex(encode(html)) ELSE '' END AS h FROM pages),
+t AS (SELECT page_id, CASE WHEN length(h) < 24 THEN '' ELSE h END AS x FROM v)
+SELECT page_id, CASE WHEN x = '' THEN 'UNKNOWN' WHEN x LIKE 'FFD8FF%' THEN 'JPEG' WHEN x LIKE '89504E470D0A1A0A%' THEN 'PNG' WHEN x LIKE '52494646________57454250%' THEN 'WEBP'
   WHEN x LIKE '474946383761%' OR x LIKE '474946383961%' THEN 'GIF' WHEN x LIKE '49492A00%' OR x LIKE '4D4D002A%' THEN 'TIFF' WHEN x LIKE '424D%' AND length(x) > 52 THEN 'BMP'
   WHEN x LIKE 'FF0A%' OR x LIKE '________4A584C20%' THEN 'JXL' WHEN x LIKE '1A45DFA3%' THEN 'MATROSKA'
   WHEN x LIKE '________66747970%' THEN CASE WHEN substring(x, 17, 8) IN ('61766966', '61766973') THEN 'AVIF' WHEN substring(x, 17, 8) IN ('68656963', '6D696631') THEN CASE WHEN contains(substring(x, 33, 8), '61766966') THEN 'AVIF' ELSE 'HEIF' END
@@ -523,8 +572,11 @@ SELECT name, CASE WHEN x = '' THEN 'UNKNOWN' WHEN x LIKE 'FFD8FF%' THEN 'JPEG' W
   WHEN substring(x, 9, 8) IN ('6D6F6F76', '6D646174', '77696465', '66726565') THEN 'MOV' ELSE 'UNKNOWN' END AS format FROM t"""
 )
 def sniff_format(spark, sf_dir):
-    df = spark.createDataFrame([(k, bytearray(v)) for k, v in _HEADS.items()], "name string, head binary")
-    return df.select("name", sniff.detect_format(F.col("head")).alias("format"))
+    """The format by the first bytes, each page's text standing behind one of the heads or not."""
+    k = F.col("page_id")
+    head = F.element_at(F.array(*[F.unhex(F.lit(v.hex())) for v in _HEADS.values()]), (k % len(_HEADS) + 1).cast("int"))
+    payload = F.concat(head, F.when(k % 2 == 0, F.encode("html", "UTF-8")).otherwise(F.lit(b"")))
+    return _table(spark, sf_dir, "pages").select("page_id", sniff.detect_format(payload).alias("format"))
 
 
 @query(
@@ -565,10 +617,19 @@ def reencode_decisions(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", made["target"].alias("target"), made["width"].alias("width"), made["height"].alias("height"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) <= 4096 THEN text END AS text, CASE WHEN strlen(text) > 4096 THEN 'too_large' END AS error FROM documents")
+@query(
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN repeat(coalesce(text, '') || ' ', CAST(2097152 // (strlen(coalesce(text, '')) + 1) + 1 AS INTEGER)) ELSE text || chr(13) || chr(10) END AS t FROM documents)
+SELECT doc_id, CASE WHEN strlen(t) <= 2097152 THEN md5(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '\\n\\z', '')) END AS digest, CASE WHEN strlen(t) > 2097152 THEN 'too_large' END AS error FROM d"""
+)
 def size_limited_texts(spark, sf_dir):
-    small = F.octet_length("text") <= 4096
-    return _table(spark, sf_dir, "documents").select("doc_id", F.when(small, F.col("text")).alias("text"), F.when(~small, "too_large").alias("error"))
+    """The text source's limit and line ends; some texts are blown up beyond 2 MiB."""
+    own = F.coalesce("text", F.lit(""))
+    times = F.floor(F.lit(2 << 20) / (F.octet_length(own) + 1)).cast("int") + 1
+    t = F.when(F.col("doc_id") % 97 == 0, F.repeat(F.concat(own, F.lit(" ")), times)).otherwise(F.concat("text", F.lit("\r\n"))).cast("binary")
+    d = _table(spark, sf_dir, "documents").select("doc_id", t.alias("content")).withColumn("length", F.octet_length("content"))
+    small, large = files.within_limit(d)
+    read = small.select("doc_id", F.md5(files.whole_text(F.col("content"))).alias("digest"), F.lit(None).cast("string").alias("error"))
+    return read.unionAll(large.select("doc_id", F.lit(None).cast("string"), "error"))
 
 
 @query(
@@ -613,22 +674,26 @@ def jumbf_detected(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", sniff.contains_jumbf(F.concat(lead, "html").cast("binary")).alias("jumbf"))
 
 
-_TOKENS_SQL = ", ".join(f"'{t}'" for t in ("c2pa.claim", "urn:c2pa", "Content Credentials"))
+#: Fixed values, written out again.
+_TOKENS = (
+    "trainedAlgorithmicMedia", "compositeWithTrainedAlgorithmicMedia", "c2pa.actions", "c2pa.claim", "c2pa.signature", "contentauth", "urn:c2pa",
+    "urn:uuid:c2pa", "Content Credentials",
+)
+_TOKEN_SQL = ", ".join(f"'{t}'" for t in _TOKENS)
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a c2pa.claim' WHEN 1 THEN 'urn:c2pa:x Content Credentials' ELSE '' END || text AS t FROM documents)
-SELECT doc_id, token, instr(t, token) AS at, length(substring(t, greatest(1, instr(t, token) - 512), least(instr(t, token) - 1, 512) + 4096)) AS context
-FROM d, unnest([{_TOKENS_SQL}]) AS k(token) WHERE contains(t, token)"""
+    f"""WITH d AS (SELECT doc_id, substring(text, 1, CAST(doc_id % 900 AS INTEGER)) || list_extract([{_TOKEN_SQL}, ''], CAST(doc_id % 10 + 1 AS BIGINT)) || substring(text, CAST(doc_id % 900 + 1 AS INTEGER)) AS t FROM documents),
+h AS (SELECT doc_id, token, strlen(t) AS n, strlen(substring(t, 1, instr(t, token) - 1)) AS pos FROM d, unnest([{_TOKEN_SQL}]) AS k(token) WHERE contains(t, token))
+SELECT doc_id, token, pos AS at, least(n, pos + 4096) - greatest(0, pos - 512) AS context FROM h"""
 )
 def strong_tokens(spark, sf_dir):
-    """First place of each strong token, with its context of 512 before and 4,096 behind."""
-    lead = F.when(F.col("doc_id") % 4 == 0, "a c2pa.claim").when(F.col("doc_id") % 4 == 1, "urn:c2pa:x Content Credentials").otherwise("")
-    tokens = F.explode(F.array(*map(F.lit, ("c2pa.claim", "urn:c2pa", "Content Credentials"))))
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("t")).select("doc_id", "t", tokens.alias("token")).where(F.col("t").contains(F.col("token")))
-    at = F.call_function("instr", F.col("t"), F.col("token"))
-    window = F.substring(F.col("t"), F.greatest(F.lit(1), at - 512), F.least(at - 1, F.lit(512)) + 4096)
-    return d.select("doc_id", "token", at.cast("long").alias("at"), F.length(window).cast("long").alias("context"))
+    """First place of each strong token in bytes, with what stands around it: 512 before and 4,096 from it on."""
+    k = F.col("doc_id")
+    token = F.element_at(F.array(*map(F.lit, (*_TOKENS, ""))), (k % 10 + 1).cast("int"))
+    planted = F.concat(F.substring(F.col("text"), F.lit(1), (k % 900).cast("int")), token, F.substring(F.col("text"), (k % 900 + 1).cast("int"), F.length("text")))
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(find_tokens(planted.cast("binary"))).alias("f"))
+    return found.select("doc_id", "f.token", "f.at", "f.context")
 
 
 @query("SELECT doc_id, rtrim(text || repeat(chr(0), CAST(doc_id % 3 AS INTEGER)), chr(0)) AS text FROM documents")
@@ -705,3 +770,6 @@ def published(spark, sf_dir):
     k = F.col("event_id") % 3
     status = F.when(k == 0, "CLEAN").when(k == 1, "RESIDUAL")
     return media.publish_gate(_table(spark, sf_dir, "events").select("event_id", status.alias("status")))[0].select("event_id")
+
+
+from scrubline.plans import media_queries as _media_queries  # noqa: E402,F401  registers its queries
