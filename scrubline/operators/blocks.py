@@ -297,7 +297,7 @@ def parse(fmt: str, f: BinaryIO, size: int) -> tuple[Blocks, dict, str | None]:
     """(blocks, traits, parse error) of a seekable payload of a known format."""
     out, traits, error = Blocks(), {}, None
     try:
-        if fmt in _BMFF:
+        if fmt in _BMFF and not (_BMFF[fmt] and size > MAX_IMAGE):  # a picture that is too large has its ends searched
             _bmff(f, size, _BMFF[fmt], out)
             return out, traits, None
         if fmt == "MATROSKA" or size > MAX_IMAGE:

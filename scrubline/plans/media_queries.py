@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from scrubline.operators import findings
+from scrubline.operators import findings, verify
 from scrubline.plans import media
 from scrubline.plans.queries import _table, query
 
@@ -152,3 +152,21 @@ def webp_stripped(spark, sf_dir):
     c = media.clean_media(_webps(spark, sf_dir))
     gone = F.aggregate("outcome.removed", F.lit(0).cast("long"), lambda a, r: a + r["bytes"])
     return c.select("page_id", "format", "status", F.md5("outcome.data").alias("digest"), gone.alias("bytes"))
+
+
+# -- second opinion ---------------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT page_id, false AS passed_before, 'marker fe' || CASE WHEN page_id % 2 = 0 THEN ',marker e5' ELSE '' END || CASE WHEN page_id % 3 = 0 THEN ',after the end' ELSE '' END AS flagged_before,
+  true AS passed_after, 'SOI,DQT,SOF,SOS,EOI' AS parts_after FROM pages"""
+)
+def verified(spark, sf_dir):
+    """The verifier before and after a JPEG is stripped."""
+    before = verify.verify(_jpegs(spark, sf_dir), "content", "before_verdict")
+    cleaned = media.clean_media(before)
+    after = verify.verify(cleaned.select("page_id", "before_verdict", F.col("outcome.data").alias("data")), "data", "after_verdict")
+    return after.select(
+        "page_id", F.col("before_verdict.passed").alias("passed_before"), F.array_join("before_verdict.flagged", ",").alias("flagged_before"),
+        F.col("after_verdict.passed").alias("passed_after"), F.array_join("after_verdict.parts", ",").alias("parts_after"),
+    )

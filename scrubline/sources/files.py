@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import shutil
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -141,6 +142,8 @@ def write_videos(files: DataFrame, folder: str, options: StripOptions = StripOpt
         final = os.path.join(folder.removeprefix("file:"), f"{name}{ext}")
         part = f"{final}.{os.getpid()}.part"
         try:
+            if os.path.getsize(path.removeprefix("file:")) > shutil.disk_usage(os.path.dirname(final)).free - FREE_RESERVE:
+                return {"path": path, "output": None, "bytes": None, "removed": None, "error": "no_space"}
             with open(path.removeprefix("file:"), "rb") as f, open(part, "wb") as o:
                 done = strip_video(f, f.seek(0, io.SEEK_END), o.write, options)
             os.replace(part, final)
@@ -161,3 +164,30 @@ def write_videos(files: DataFrame, folder: str, options: StripOptions = StripOpt
     number = F.regexp_extract(F.substring(F.col("unique_name"), F.length("output") + 1, F.length("unique_name")), "_[0-9]+", 0)
     stem = F.concat(F.substring(F.col("output"), F.lit(1), F.length("output") - F.length("ext")), number)
     return unique.select("path", stem.alias("stem"), "ext").mapInArrow(run, "path string, output string, bytes long, removed long, error string")
+
+
+def delete_originals(written: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(path, deleted, error): deletes sources on mounted storage, but only those whose path is in ``confirmed`` and whose
+    output (of write_videos) is there and not empty. Nothing else in the engine deletes a source.
+
+    A repeated task finds its files gone and says so as deleted.
+    """
+    schema = pa.schema([("path", pa.string()), ("deleted", pa.bool_()), ("error", pa.string())])
+
+    def one(path: str, output: str) -> dict:
+        source = path.removeprefix("file:")
+        try:
+            if not os.path.getsize(output):
+                return {"path": path, "deleted": False, "error": "empty output"}
+            if os.path.exists(source):
+                os.remove(source)
+            return {"path": path, "deleted": True, "error": None}
+        except OSError as e:
+            return {"path": path, "deleted": False, "error": str(e)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([one(*row) for row in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)], schema=schema)
+
+    wanted = written.where("output is not null").select("path", "output").join(confirmed.select("path").distinct(), "path", "left_semi")
+    return wanted.mapInArrow(run, "path string, deleted boolean, error string")

@@ -123,6 +123,11 @@ def test_outputs_of_one_base_name_are_numbered(spark, tmp_path):
     got = files.write_videos(spark.read.format("binaryFile").load(str(tmp_path / "*" / "*.mp4")), str(out)).collect()
     assert all(r.error is None for r in got)
     assert sorted(p.name for p in out.iterdir()) == ["x.v1_clean.mp4", "x.v1_clean_1.mp4", "x.v1_clean_2.mp4"]
+    written = spark.createDataFrame([*map(tuple, got), ("gone.mp4", str(out / "none"), 1, 1, None)], "path string, output string, bytes long, removed long, error string")
+    confirmed = written.where("path LIKE '%/a/%' OR path = 'gone.mp4'")
+    told = files.delete_originals(written, confirmed).collect()
+    assert sorted((r.path[-15:], r.deleted) for r in told) == [(got_path[-15:], ok) for got_path, ok in sorted([(str(tmp_path / "a" / "x.v1.mp4"), True), ("gone.mp4", False)], key=lambda x: x[0][-15:])]
+    assert [p.exists() for p in (tmp_path / "a" / "x.v1.mp4", tmp_path / "b" / "x.v1.mp4")] == [False, True]
 
 
 def test_many_files_of_one_name_are_numbered_without_a_gap(spark):
