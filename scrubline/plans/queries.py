@@ -175,6 +175,25 @@ def code_point_labels(spark, sf_dir):
     return cps.select("code_point", F.element_at(F.split(T.describe(F.col("code_point")), " "), 1).alias("label"))
 
 
+_TAIL = " [^12^] see https://a.example/?utm_source=chatgpt.com \t\n \n"
+_TAIL_SQL = "' [^12^] see https://a.example/?utm_source=chatgpt.com ' || chr(9) || chr(10) || ' ' || chr(10)"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {_PLANTED} || {_TAIL_SQL} AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\[\\^\\d{{1,3}}\\^\\]', '', 'g'), '\\?utm_source=chatgpt\\.com', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, {_count_sql("t", _GONE)} + {_count_sql("t", _CLASSES["SPECIAL_SPACES"])} AS hidden, nfc_normalize(replace(replace(regexp_replace(regexp_replace(t, '{_re2(_GONE)}', '', 'g'),
+  '[\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ', 'g'), chr(8232), chr(10)), chr(8233), chr(10))) AS t FROM b),
+w AS (SELECT doc_id, hidden, {_count_sql("t", "(?m)[ \\t]+$")} AS blanks, regexp_replace(t, '(?m)[ \\t]+$', '', 'g') AS t FROM c)
+SELECT doc_id, md5(trim(t, chr(10) || ' ' || chr(9))) AS digest, hidden, 2 + hidden + blanks + 1 AS total FROM w"""
+)
+def text_clean_default(spark, sf_dir):
+    """A whole clean with the default options: artifacts, hidden characters, composed form, white space, and its counts."""
+    d = _hidden_docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit(_TAIL)).alias("text"))
+    c = clean_text(d)
+    return c.select("doc_id", F.md5("cleaned.text").alias("digest"), F.col("cleaned.hidden").cast("long").alias("hidden"), F.col("cleaned.total").cast("long").alias("total"))
+
+
 # -- artifacts, typography, white space ---------------------------------------------------------------------------------
 
 #: What the engine's vocabularies must hold, written out again so that an error in them shows. Fixed values.
