@@ -17,6 +17,7 @@ from scrubline.operators.blocks import find_tokens
 from scrubline.operators.sanitize import clean_text, summary
 from scrubline.plans import media, samples
 from scrubline.sources import files
+from scrubline.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,7 +34,8 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages", "conversations") else table
 
 
 def _plant(text: Column, key: Column, payloads: list[tuple[int, str]]) -> Column:
@@ -348,6 +350,21 @@ def md_fences(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5("c.text").alias("digest"), F.col("c.MARKDOWN").cast("long").alias("n"))
 
 
+@query(
+    f"""SELECT conv_id, turn, md5(w || chr(10) || repeat(w || ' ', 6) || 'snake_case 2*3*4 ' || w || ' (http://u.example/' || replace(w, ' ', '') || ') ' || w || '  http://same.example ' || chr(10) || w) AS digest,
+  CAST(12 AS BIGINT) AS n FROM (SELECT conv_id, turn, {_ONE_LINE} AS w FROM conversations)"""
+)
+def md_inline(spark, sf_dir):
+    """An underlined title, emphasis of all kinds, strikes, links and images around each whole text; words with the same
+    characters inside stay."""
+    w = _one_line(F.col("text"))
+    marked = F.concat(*[x for a in ("***", "**", "__", "*", "_", "~~") for x in (F.lit(a), w, F.lit(a + " "))])
+    links = F.concat(F.lit("["), w, F.lit("](http://u.example/"), F.replace(w, F.lit(" "), F.lit("")), F.lit(' "t") ['), w, F.lit("](#m) !["), w, F.lit("](x.png) [http://same.example](http://same.example) ![](y.png)\n"))
+    t = F.concat(w, F.lit("\n=====\n"), marked, F.lit("snake_case 2*3*4 "), links, w)
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", markdown.strip_markdown(t).alias("c"))
+    return c.select("conv_id", "turn", F.md5("c.text").alias("digest"), F.col("c.MARKDOWN").cast("long").alias("n"))
+
+
 @query()
 def md_full(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")
