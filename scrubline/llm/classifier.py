@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scrubline.llm import common
 from scrubline.llm.quality_rules import repeat_words
+from scrubline.sources.tables import spread
 
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
@@ -179,7 +180,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_statistics(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(_measure, "doc_id long, stats array<float>")
+    return spread(texts).mapInArrow(_measure, "doc_id long, stats array<float>")
 
 
 def fold_of(doc_id: str = "doc_id"):

@@ -5,8 +5,9 @@ consecutive words of an item; an item of fewer words (but not none) is one windo
 numbers, so matches start and end at words; a match's word positions map back to code-point offsets in the text.
 
 The benchmark is broadcast only while it holds at most MAX_ITEM_BYTES, and each worker process builds its automaton
-once; a larger benchmark is dealt into groups of that size, each of which scans the documents once; rows are numbered and stored first, and the hits are united
-by that number. Nothing else is shuffled, and one row's hits never meet those of another.
+once. A larger benchmark is dealt into groups of about that size, long items in pieces; each group scans the documents
+once; rows are numbered and stored first, and the hits are united by that number. Nothing else is shuffled, and one
+row's hits never meet those of another.
 
 Defined results: null or empty texts have no words and no hits; a null item_id counts as the string ``null``; rows
 with equal item_id are one item; an empty benchmark hits nothing; repeated documents are judged one by one; columns
@@ -25,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scrubline.llm import common, worker
+from scrubline.sources.tables import spread
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton.
 MAX_ITEM_BYTES = 16 << 20
+#: An item of more than this part of it is cut, so that groups come out even.
+PIECES = 8
 #: 20 * hit words >= words.
 HIT_SHARE = 20
 
@@ -144,15 +148,44 @@ def _scanner(spark: SparkSession, items: list[tuple[str, bytes | None]], schema:
     return scan
 
 
+def _cutter(most: int):
+    """Cuts items of more than ``most`` bytes into pieces that share WINDOW - 1 words, so each window is in one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text) if text and len(text) > most else []
+                if len(words) <= WINDOW:
+                    pieces = [text]
+                else:
+                    pieces, at = [], 0
+                    while at + WINDOW <= len(words):
+                        stop, size = at + WINDOW, sum(map(len, words[at : at + WINDOW]))
+                        while stop < len(words) and size < most:
+                            size += len(words[stop]) + 1
+                            stop += 1
+                        pieces.append(b" ".join(words[at:stop]))
+                        at = stop - WINDOW + 1
+                ids += [item_id] * len(pieces)
+                texts += pieces
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.binary())], names=["item_id", "text"])
+
+    return run
+
+
 def _groups(benchmark: DataFrame, max_bytes: int) -> Iterator[tuple[int, list[tuple[str, bytes | None]]]]:
     """(how many groups, items of one) for each group of about max_bytes of text; one is on the driver at a time."""
     rows = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("binary").alias("text")
     )
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = F.octet_length("text")
+    total, longest = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     n = int(total // max_bytes) + 1
+    if longest > max_bytes // PIECES:
+        rows = common.materialize(rows.mapInArrow(_cutter(max(1, max_bytes // PIECES)), "item_id string, text binary"), "items")
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         yield n, [(r.item_id, bytes(r.text) if r.text is not None else None) for r in part.collect()]
 
 
@@ -177,7 +210,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = M
     n, items = next(groups)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if n == 1:
-        return texts.withColumn("text", F.col("text").cast("binary")).mapInArrow(_scanner(docs.sparkSession, items), HITS)
+        return spread(texts).withColumn("text", F.col("text").cast("binary")).mapInArrow(_scanner(docs.sparkSession, items), HITS)
     rows = common.materialize(common.numbered(texts), "numbered")
     found = _row_hits(rows, itertools.chain([items], (i for _, i in groups)))
     return rows.select("_row", "doc.doc_id").join(found, "_row").select(_HITS.names)
@@ -223,7 +256,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MA
     groups = _groups(benchmark, max_bytes)
     n, items = next(groups)
     if n == 1:
-        return docs.mapInArrow(_keeper(docs.sparkSession, items), docs.schema)
+        return spread(docs).mapInArrow(_keeper(docs.sparkSession, items), docs.schema)
     rows = common.materialize(common.numbered(docs), "numbered")
     bad = _row_hits(rows, itertools.chain([items], (i for _, i in groups))).where(is_contaminated()).select("_row")
     return rows.join(bad, "_row", "left_anti").select("doc.*")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from scrubline.llm import common
 from scrubline.llm.encoding import WordEncoder, encoder, pack
+from scrubline.sources.tables import spread
 
 END_ID = 1
 CAPACITY = 4096
@@ -156,7 +157,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, _PIECES, strict=True)], schema=_PIECES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECES)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

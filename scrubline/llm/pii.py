@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scrubline.llm import worker
+from scrubline.sources.tables import spread
 
 ROUNDS = 8
 KEY_SETTING = "spark.scrubline.pseudonym.key"
@@ -352,7 +353,7 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
             field = batch.schema.field(at)
             yield batch.set_column(at, field, pa.array([rewrite(t.as_py())[0] for t in batch.column(at)], field.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((f"n_{k}", pa.int64()) for k in KIND_NAMES), ("n_replaced", pa.int64())])
@@ -371,7 +372,7 @@ def pseudonymize_report(docs: DataFrame, key: bytes) -> DataFrame:
                 rows.append({"doc_id": d.as_py(), "text": text, "n_replaced": sum(counts.values())} | {f"n_{k}": counts.get(k, 0) for k in KIND_NAMES})
             yield pa.RecordBatch.from_pylist(rows, schema=_FOUND)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, FOUND)
 
 
 def op7_feistel_pseudonyms(spark, sf_dir: str) -> DataFrame:

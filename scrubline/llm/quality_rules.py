@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scrubline.llm import worker
+from scrubline.sources.tables import spread
 
 MEMO_WORDS = 150_000
 SYMBOLS = b"#*$%&|<>"
@@ -192,7 +193,7 @@ def measure(docs: DataFrame, rules: Rules) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=_SCHEMA)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "lang")
-    return texts.mapInArrow(run, MEASURES)
+    return spread(texts).mapInArrow(run, MEASURES)
 
 
 def keep(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -204,7 +205,7 @@ def keep(docs: DataFrame, rules: Rules) -> DataFrame:
             text, lang = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "lang"))
             yield batch.filter(pa.array([judge((t.as_py() or "").encode(), g.as_py())["kept"] for t, g in zip(text, lang, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def calibrate(docs: DataFrame, good: DataFrame, rules: Rules, share: float = 0.001, margin: float = 0.02) -> dict[str, Band]:

@@ -38,6 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from scrubline.llm import common
+from scrubline.sources.tables import spread
 
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
@@ -571,7 +572,7 @@ def repeated_spans(
 ) -> DataFrame:
     """SPANS of texts (key, ord, text) that repeated windows cover; spans may overlap."""
     buckets = common.partitions_for(texts, 16 << 20)
-    cells = texts.select("key", "ord", "text").mapInArrow(_recorder(w, buckets, hot_classes), CELL)
+    cells = spread(texts.select("key", "ord", "text")).mapInArrow(_recorder(w, buckets, hot_classes), CELL)
     found = common.materialize(cells.groupBy("bucket").applyInArrow(_bucketer(w), FOUND), "found")
     opened = found.where(F.col("kind") == OPEN)
     # few rows, stored: the join below broadcasts them or, if they are many, splits hot keys

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scrubline.llm import common
 from scrubline.llm.components import components
+from scrubline.sources.tables import spread
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -74,7 +75,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of each row of docs."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(_prints, "doc_id long, fp long")
+    return spread(texts).mapInArrow(_prints, "doc_id long, fp long")
 
 
 def grid_cells(fp: Column) -> tuple[Column, list[Column]]:

@@ -94,3 +94,16 @@ def test_empty_tables_and_filter(spark):
     kept = dc.drop_contaminated(d, b)
     assert kept.columns == d.columns
     assert {r.doc_id for r in kept.collect()} == {k for k, v in brute(list(enumerate(TEXTS)), ITEMS).items() if not v[3]}
+
+
+def test_long_items_are_cut_without_losing_a_window(spark):
+    rng = __import__("random").Random(6)
+    words = [f"v{rng.randrange(400)}" for _ in range(900)]
+    items = [(1, " ".join(words)), (2, "Tiny  one"), (None, " ".join(words[100:130])), (3, "x" * 300), (4, None)]
+    docs = [(i, "p " * 9 + " ".join(words[a : a + n]) + " q" * 9) for i, (a, n) in enumerate([(0, 13), (5, 12), (300, 200), (0, 900), (887, 13), (110, 40)])] + [(9, "tiny one"), (10, "x" * 300)]
+    d = spark.createDataFrame([(t, i, 7, "x") for i, t in docs], DOCS)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    cols = ["doc_id", "n_words", "n_hit", "item_ids", "spans"]
+    one = sorted(map(tuple, dc.find_contamination(d, b).select(cols).collect()))
+    for most in (40, 200, 1000):
+        assert sorted(map(tuple, dc.find_contamination(d, b, most).select(cols).collect())) == one
