@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,6 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that a Python worker is handed at once; the session's own limits are 10,000 rows and 64 MB.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH for the session: texts then take little memory on both sides, and results are computed after a query has
+    returned, so it can't be taken back. It changes no result."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir where set.
 
@@ -98,6 +111,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("_row"), packed(docs))
 
 
+def map_rows(docs: DataFrame, function: Callable, **places: str) -> DataFrame:
+    """docs through function(batches, place=…, …), an Arrow function that returns rows of the same columns. It is told where
+    the named columns stand; their names, which may hold dots, don't travel."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = functools.partial(function, **{k: names.index(n) for k, n in places.items()})
+    return plain.mapInArrow(lambda batches: own(batches), plain.schema).toDF(*names)
+
+
 def packed(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
 

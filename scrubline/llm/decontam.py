@@ -237,11 +237,11 @@ def is_contaminated(n_hit="n_hit", n_words="n_words"):
 def _keeper(spark: SparkSession, items: list[tuple[str, bytes | None]]):
     own = _matcher(spark, items)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         matcher = own()
         for batch in batches:
             kept = []
-            for text in batch.column(batch.schema.get_field_index("text")):
+            for text in batch.column(at):
                 words = words_of((text.as_py() or "").encode())
                 hits = matcher.hits(words)
                 n_hit = int(_covered(len(words), [h[:2] for h in hits]).sum()) if hits else 0
@@ -256,7 +256,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MA
     groups = _groups(benchmark, max_bytes)
     n, items = next(groups)
     if n == 1:
-        return spread(docs).mapInArrow(_keeper(docs.sparkSession, items), docs.schema)
+        return common.map_rows(spread(docs), _keeper(docs.sparkSession, items), at="text")
     rows = common.materialize(common.numbered(docs), "numbered")
     bad = _row_hits(rows, itertools.chain([items], (i for _, i in groups))).where(is_contaminated()).select("_row")
     return rows.join(bad, "_row", "left_anti").select("doc.*")

@@ -42,7 +42,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scrubline.llm import worker
+from scrubline.llm import common, worker
 from scrubline.sources.tables import spread
 
 ROUNDS = 8
@@ -346,14 +346,13 @@ def session_key(spark: SparkSession) -> bytes:
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with rewritten text; all columns and rows are kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
         rewrite = worker.held(("pseudonyms", key), lambda: Rewriter(key))
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             field = batch.schema.field(at)
             yield batch.set_column(at, field, pa.array([rewrite(t.as_py())[0] for t in batch.column(at)], field.type))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return common.map_rows(spread(docs), run, at="text")
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((f"n_{k}", pa.int64()) for k in KIND_NAMES), ("n_replaced", pa.int64())])

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scrubline.llm import worker
+from scrubline.llm import common, worker
 from scrubline.sources.tables import spread
 
 MEMO_WORDS = 150_000
@@ -199,13 +199,13 @@ def measure(docs: DataFrame, rules: Rules) -> DataFrame:
 def keep(docs: DataFrame, rules: Rules) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], text_at: int, lang_at: int) -> Iterator[pa.RecordBatch]:
         judge = worker.held(("judge", repr(rules)), lambda: Judge(rules))
         for batch in batches:
-            text, lang = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "lang"))
+            text, lang = batch.column(text_at), batch.column(lang_at)
             yield batch.filter(pa.array([judge((t.as_py() or "").encode(), g.as_py())["kept"] for t, g in zip(text, lang, strict=True)], pa.bool_()))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return common.map_rows(spread(docs), run, text_at="text", lang_at="lang")
 
 
 def calibrate(docs: DataFrame, good: DataFrame, rules: Rules, share: float = 0.001, margin: float = 0.02) -> dict[str, Band]:

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from scrubline.llm import bwt_dedup, chat_format, classifier, decontam, packing, pii, quality_rules, simhash, substring_tree, token_output
+import functools
+
+from scrubline.llm import bwt_dedup, chat_format, classifier, common, decontam, packing, pii, quality_rules, simhash, substring_tree, token_output
+
+
+def _in_small_batches(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir: str):
+        common.small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
+    found = {
         "op1_simhash_grid": simhash.op1_simhash_grid,
         "op2_prefix_suffix_trees": substring_tree.op2_prefix_suffix_trees,
         "op3_bwt_merge": bwt_dedup.op3_bwt_merge,
@@ -18,6 +29,7 @@ def queries() -> dict:
         "op9_chat_prefix_target": chat_format.op9_chat_prefix_target,
         "op10_quality_gbt": classifier.op10_quality_gbt,
     }
+    return {name: _in_small_batches(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

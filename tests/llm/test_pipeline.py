@@ -51,3 +51,24 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DATA)
     assert docs.count() == 0
+
+
+def test_stages_take_nulls_ties_repeats_and_any_columns(spark):
+    rng = __import__("random").Random(4)
+    long = " ".join("".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    rows = [(1, long, "zz"), (1, long, "zz"), (2, None, None), (None, long + " end", "zz"), (3, "", "xx"), (4, long + " 97.51.17.173", None)]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, _row int, _node int, doc string, `a.b` int, kept int"
+    df = spark.createDataFrame([(d, t, g, None, None, 1, 2, "d", 3, 0) for d, t, g in rows], fields)
+    items = spark.createDataFrame([(9, "no such words here")], "item_id long, text string")
+    expected = {
+        "quality rules": [(1, 1), (1, 1), (4, 1), (None, 1)], "simhash near-dedup": [(1, 1), (2, None), (None, 1)], "benchmark decontamination": [(1, 1), (1, 1), (2, None), (3, 0), (4, 1), (None, 1)],
+        "pii": [(1, 1), (1, 1), (2, None), (3, 0), (4, 1), (None, 1)],
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = corpus_pipeline.decontam.drop_contaminated(df, items) if name.startswith("bench") else stage(spark, df, DATA)
+        assert got.columns == df.columns, name
+        kept = got.collect()
+        assert sorted([(r.doc_id, None if r.text is None else int(r.text != "")) for r in kept], key=repr) == sorted(expected[name], key=repr), name
+        assert {tuple(r)[5:] for r in kept} == {(1, 2, "d", 3, 0)}, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, df, DATA).collect()
+    assert len(pieces) == len(rows) and sum(r.length for r in pieces if r.doc_id in (2, 3)) == 2
