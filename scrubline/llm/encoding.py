@@ -20,6 +20,8 @@ import regex
 
 from scrubline.llm import worker
 
+#: Words kept, and a third as many parts of words, about 200 bytes each. It changes speed only.
+MEMO_WORDS = 1_200_000
 #: Shares of misses, and the words they are counted over, at which the dictionary starts anew.
 STALE_SHARE, STALE_OVER = 0.3, 1_000_000
 _BESIDE_BLANK = re.compile(r" \s|\s ")
@@ -45,15 +47,13 @@ def pack(ids) -> bytes:
 
 
 class _Encoder:
-    #: Words and parts of words kept; about 200 bytes each.
-    memo_words, memo_parts = 1_200_000, 400_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
+        self.memo_words, self.memo_parts = memo_words, memo_words // 3
         self.memo: dict = {}
         self.parts: dict[str, bytes] = {}
         self.asked = self.missed = 0
@@ -154,7 +154,6 @@ class WordEncoder(_Encoder):
     """Vocabularies of word ends that drop white space. Only ASCII white space cuts here; the library cuts the rest."""
 
     MARK, BETWEEN = "\x00", " \x00 "
-    memo_words, memo_parts = 500_000, 150_000  # more of them saves no time
     #: The vocabulary's own pattern, for lower case. Fixed value.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
     #: Characters that normalisation changes in case only.
@@ -171,6 +170,6 @@ class WordEncoder(_Encoder):
         return self._join(text.encode().split()) if text else b""
 
 
-def encoder(kind: type, path: str) -> _Encoder:
+def encoder(kind: type, path: str, memo_words: int = MEMO_WORDS) -> _Encoder:
     """This process's encoder of a vocabulary file."""
-    return worker.held((kind.__name__, path), lambda: kind(path))
+    return worker.held((kind.__name__, path, memo_words), lambda: kind(path, memo_words))

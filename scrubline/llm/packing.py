@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from scrubline.llm import common
-from scrubline.llm.encoding import WordEncoder, encoder, pack
+from scrubline.llm.encoding import MEMO_WORDS, WordEncoder, encoder, pack
 from scrubline.sources.tables import spread
 
 END_ID = 1
@@ -142,11 +142,11 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def encode_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row of PIECES for each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(WordEncoder, tokenizer_path), pack([end_id])
+        encode, end = encoder(WordEncoder, tokenizer_path, memo_words), pack([end_id])
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for d, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -185,8 +185,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*_PIECES.names, (F.col("before") + F.col("own") - 1).alias("rank")).mapInArrow(run, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    return pack_pieces(common.materialize(encode_pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
+    """PACKED of all pieces of docs. memo_words: how many encoded words a worker process keeps."""
+    return pack_pieces(common.materialize(encode_pieces(docs, tokenizer_path, capacity, end_id, memo_words), "pieces"), capacity)
 
 
 def production_tokenizer() -> str:
