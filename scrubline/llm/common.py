@@ -61,6 +61,18 @@ def delete_scratch(spark: SparkSession, path: str) -> None:
     _delete(spark, path)
 
 
+#: So many shuffle partitions of numbers go into one task and file: partitions are counted for texts.
+LIGHT = 8
+
+
+def numbers(df: DataFrame, label: str) -> DataFrame:
+    """materialize() for a table of a few numbers a row that a shuffle has dealt: LIGHT partitions make a file, but no fewer
+    files than there are cores."""
+    spark = df.sparkSession
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // LIGHT)
+    return materialize(df.coalesce(max(parts, spark.sparkContext.defaultParallelism)), label)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes df as a Parquet table in the shared scratch folder and reads it back.
 
@@ -95,7 +107,7 @@ def _bit(key: Column) -> Column:
 def sieve(keys: DataFrame) -> DataFrame:
     """A bit for each key of a one-column table, in SIEVE_SLOTS rows at most: see may_hold()."""
     key = F.col(keys.columns[0])
-    return materialize(keys.select(_slot(key).alias("_slot"), _bit(key).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits")), "sieve")
+    return numbers(keys.select(_slot(key).alias("_slot"), _bit(key).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits")), "sieve")
 
 
 def sifted(df: DataFrame, key: Column, made: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from scrubline.llm import common
 
 
 def _minimum(links: DataFrame, node: str, other: str) -> DataFrame:
-    return common.materialize(links.groupBy(node).agg(F.min(other).alias("low")), "low")
+    return common.numbers(links.groupBy(node).agg(F.min(other).alias("low")), "low")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -37,12 +37,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     ordered = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    state, last = common.materialize(ordered, "links"), None
+    state, last = common.numbers(ordered, "links"), None
     sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = sign(state)
     while now != last and now[0]:
         old, last = state.inputFiles(), now
-        state = common.materialize(_small_star(_large_star(state)), "links")
+        state = common.numbers(_small_star(_large_star(state)), "links")
         now = sign(state)
         if old:
             common.delete_scratch(spark, old[0].rsplit("/", 1)[0])

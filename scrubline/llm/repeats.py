@@ -576,7 +576,7 @@ def repeated_spans(
     found = common.materialize(cells.groupBy("bucket").applyInArrow(_bucketer(w), FOUND), "found")
     opened = found.where(F.col("kind") == OPEN)
     # few rows, stored: the join below broadcasts them or, if they are many, splits hot keys
-    hot = common.materialize(opened.groupBy("prefix").count().where(F.col("count") > hot_group).select("prefix", F.lit(True).alias("hot")), "hot")
+    hot = common.numbers(opened.groupBy("prefix").count().where(F.col("count") > hot_group).select("prefix", F.lit(True).alias("hot")), "hot")
     each = opened.join(hot, "prefix", "left").select("key", F.struct("start", "left", "run", "prefix", "many", F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"))
     still = each.groupBy("key").agg(F.collect_set("r").alias("found"))
     fetched = texts.select("key", "ord", "text").join(still, "key").select("key", "ord", "text", "found")

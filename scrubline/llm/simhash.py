@@ -100,7 +100,7 @@ def links(prints: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     point, step = grid_cells(F.col("fp"))
     around = prints.select("fp", point.alias("p")).select("fp", F.explode(F.array("p", *[F.col("p") + s for s in step], *[F.col("p") - s for s in step])).alias("cell"))
     sizes = around.groupBy("cell").count().where("count > 1")
-    cells = common.materialize(around.join(sizes, "cell"), "cells")  # of most fingerprints no cell is shared
+    cells = common.numbers(around.join(sizes, "cell"), "cells")  # of most fingerprints no cell is shared
     few = cells.where(F.col("count") <= cell_limit).select("cell", "fp")
     a, b = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
@@ -115,13 +115,13 @@ def links(prints: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
 def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) of each row of docs; component_id: the smallest doc_id reachable by links."""
     prints = common.materialize(fingerprints(docs), "fingerprints")
-    nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    nodes = common.numbers(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     joined = components(links(nodes.select("fp"), cell_limit))
     # each side of a join below is a stored table, so that the engine can split a key that holds very many rows
-    groups = common.materialize(joined.join(nodes, joined.node == nodes.fp).select("node", "component", "low"), "groups")
-    names = common.materialize(groups.groupBy("component").agg(F.min("low").alias("name")), "names")
+    groups = common.numbers(joined.join(nodes, joined.node == nodes.fp).select("node", "component", "low"), "groups")
+    names = common.numbers(groups.groupBy("component").agg(F.min("low").alias("name")), "names")
     named = groups.join(names, "component").select(F.col("node").alias("fp"), "name")
-    labels = common.materialize(nodes.join(named, "fp", "left").select("fp", F.coalesce("name", "low").alias("component_id")), "labels")
+    labels = common.numbers(nodes.join(named, "fp", "left").select("fp", F.coalesce("name", "low").alias("component_id")), "labels")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -132,7 +132,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     rows = common.told_apart(docs)
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "doc.text"))  # components are named by rows, not ids
-    return first_of_each(rows, common.materialize(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")), "groups"))
+    return first_of_each(rows, common.numbers(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component")), "groups"))
 
 
 def op1_simhash_grid(spark, sf_dir: str) -> DataFrame:
