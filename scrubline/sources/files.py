@@ -109,13 +109,13 @@ def allowed_folder(path: Column, is_video: Column, fallback: str = "Pictures") -
     return F.when(F.coalesce(ok, F.lit(False)), path).otherwise(F.lit(fallback))
 
 
-def human_size(size: Column) -> Column:
-    """``512 B``, ``1.5 KB``, …; a dash for null or negative sizes."""
-    step = lambda k, unit: F.format_string(f"%.1f{unit}", size / float(1024**k))
-    return (
-        F.when(size.isNull() | (size < 0), "—").when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, step(1, " KB"))
-        .when(size < 1024**3, step(2, " MB")).otherwise(step(3, " GB"))
-    )
+def human_size(size: Column, units: tuple[str, ...] = ("KB", "MB", "GB")) -> Column:
+    """``512 B``, ``1.5 KB``, …, the last unit for all that is larger; a dash for null or negative sizes."""
+    shown = F.when(size.isNull() | (size < 0), "—").when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+    for k, unit in enumerate(units, 1):
+        step = F.format_string(f"%.1f {unit}", size / float(1024**k))
+        shown = shown.when(size < 1024 ** (k + 1), step) if k < len(units) else shown.otherwise(step)
+    return shown
 
 
 def expired(work_files: DataFrame, now: Column, hours: int = WORK_HOURS) -> DataFrame:
