@@ -2,7 +2,7 @@
 
 Each round is two aggregations of the links by node and two joins of the minimum back to them. The minima are stored
 before they are joined, so both sides of a join are dealt by the engine and its skew-join splitting applies to a hub
-with very many links; nothing is gathered per node. Rounds repeat
+with very many links; nothing is gathered per node, nor in the driver: no join broadcasts. Rounds repeat
 until the links no longer change, each written to the shared scratch folder. Their number grows with the logarithm
 of the longest chain.
 """
@@ -21,12 +21,12 @@ def _minimum(links: DataFrame, node: str, other: str) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = _minimum(both, "a", "b").select("a", F.least("a", "low").alias("low"))
-    return both.where("b > a").join(low, "a").select(F.col("low").alias("a"), "b").where("a < b").distinct()
+    return both.where("b > a").join(common.merged(low), "a").select(F.col("low").alias("a"), "b").where("a < b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     low = _minimum(links, "b", "a")  # a < b: a node's smaller neighbours
-    moved = links.join(low, "b")
+    moved = links.join(common.merged(low), "b")
     return moved.select(F.col("low").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
 
 

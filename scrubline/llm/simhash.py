@@ -54,7 +54,11 @@ def shingle_hashes(text: bytes, size: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes | None) -> int:
     """The fingerprint as a signed 64-bit number."""
-    h = shingle_hashes(text or b"")
+    return majority(shingle_hashes(text or b""))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed number."""
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)
@@ -100,15 +104,15 @@ def links(prints: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     point, step = grid_cells(F.col("fp"))
     around = prints.select("fp", point.alias("p")).select("fp", F.explode(F.array("p", *[F.col("p") + s for s in step], *[F.col("p") - s for s in step])).alias("cell"))
     sizes = around.groupBy("cell").count().where("count > 1")
-    cells = common.numbers(around.join(sizes, "cell"), "cells")  # of most fingerprints no cell is shared
+    cells = common.numbers(around.join(common.merged(sizes), "cell"), "cells")  # of most fingerprints no cell is shared
     few = cells.where(F.col("count") <= cell_limit).select("cell", "fp")
     a, b = few.select("cell", F.col("fp").alias("a")), few.select("cell", F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
-    pairs = a.join(b, "cell").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = a.join(common.merged(b), "cell").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     crowd = cells.where(F.col("count") > cell_limit).select("fp").distinct()
     balls = crowd.select("fp", F.explode(bit_neighbours(F.col("fp"))).alias("middle"))
     low = balls.groupBy("middle").agg(F.min("fp").alias("a"))
-    stars = balls.join(low, "middle").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    stars = balls.join(common.merged(low), "middle").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return pairs.union(stars)
 
 
@@ -118,11 +122,11 @@ def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     nodes = common.numbers(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     joined = components(links(nodes.select("fp"), cell_limit))
     # each side of a join below is a stored table, so that the engine can split a key that holds very many rows
-    groups = common.numbers(joined.join(nodes, joined.node == nodes.fp).select("node", "component", "low"), "groups")
+    groups = common.numbers(joined.join(common.merged(nodes), joined.node == nodes.fp).select("node", "component", "low"), "groups")
     names = common.numbers(groups.groupBy("component").agg(F.min("low").alias("name")), "names")
-    named = groups.join(names, "component").select(F.col("node").alias("fp"), "name")
-    labels = common.numbers(nodes.join(named, "fp", "left").select("fp", F.coalesce("name", "low").alias("component_id")), "labels")
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    named = groups.join(common.merged(names), "component").select(F.col("node").alias("fp"), "name")
+    labels = common.numbers(nodes.join(common.merged(named), "fp", "left").select("fp", F.coalesce("name", "low").alias("component_id")), "labels")
+    return prints.join(common.merged(labels), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

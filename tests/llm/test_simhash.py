@@ -144,3 +144,18 @@ def test_one_row_of_each_component_stays_though_ids_repeat_over_texts(spark):
     rows = [(1, x), (2, x), (2, y), (2, z), (3, z)]
     kept = sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == sorted([(1, x), (2, y), (2, z)])
+
+
+def test_no_table_that_grows_with_the_input_is_broadcast(spark, monkeypatch):
+    plans, stored = [], sh.common.materialize
+
+    def noted(df, label):
+        made = stored(df, label)
+        plans.append((label, df))
+        return made
+
+    monkeypatch.setattr(sh.common, "materialize", noted)
+    rows = [(i, " ".join(random.Random(i // 3).choices("abcdefgh", k=40)) + " z" * (i % 3)) for i in range(60)]
+    plans.append(("result", sh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert {"cells", "low", "links", "groups", "labels"} <= {label for label, _ in plans}
+    assert [label for label, df in plans if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()] == []
