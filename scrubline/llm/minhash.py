@@ -1,10 +1,13 @@
-"""Near-duplicates by similarity: MinHash bands find candidates, the exact Jaccard similarity decides.
+"""Near-duplicates by similarity: the SimHash grid and MinHash bands find candidates, the exact Jaccard similarity decides.
 
 A document is the set of the XXH64 values of its word shingles (``SHINGLE`` = 5 words). Two documents link at a Jaccard
 similarity of ``SIMILARITY`` = 0.8 or more; documents of one set are one node throughout, so groups of exact copies
 never meet in a cell.
 
-Candidates: ``BANDS`` keys a node, each of ``ROWS`` minima. A pair shares a key with probability
+Candidates by SimHash: each node has a fingerprint over the same shingles, and fingerprints within 2 bits meet by the
+segment grid of ``simhash.links``; nodes of one fingerprint meet its smallest node. Most pairs at 0.8 lie beyond 2 bits.
+
+Candidates by bands: ``BANDS`` keys a node, each of ``ROWS`` minima. A pair shares a key with probability
 1 - (1 - J ** ROWS) ** BANDS: at J = 0.8 all but 5 in 100 million pairs. Each candidate is then checked on the sets.
 
 Cells of more than ``CELL_LIMIT`` nodes (a crowd) are never paired out. Each member is checked against the ``LEADERS``
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scrubline.llm import common
 from scrubline.llm.components import components
-from scrubline.llm.simhash import shingle_hashes
+from scrubline.llm.simhash import links as grid_links, majority, shingle_hashes
 from scrubline.sources.tables import spread
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -117,13 +120,15 @@ def joined_nodes(left: np.ndarray, right: np.ndarray, similar: np.ndarray) -> tu
 
 def _nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, keys = [], []
+        nodes, keys, prints = [], [], []
         for text in batch.column(1):
-            shingles = shingle_set(text.as_py(), size)
+            hashes = shingle_hashes(text.as_py() or b"", size)
+            prints.append(majority(hashes))
+            shingles = np.unique(hashes)
             nodes.append(_signed(xxhash.xxh64_intdigest(shingles.tobytes())))
             keys.append(band_keys(shingles))
-        columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["_row", "_node", "_keys"])
+        columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["_row", "_node", "_keys", "_print"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -201,15 +206,26 @@ def _across(members: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, l
     return links
 
 
+def _grid_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b) of nodes by their fingerprints. Fingerprints that the grid joins are stood for by their smallest
+    nodes. nodes: a stored table."""
+    prints = common.numbers(nodes.groupBy("fp").agg(F.min("_node").alias("low")), "prints")
+    near = grid_links(prints.select("fp")).select(F.col("a").alias("fp"), F.col("b").alias("_b"))
+    near = common.numbers(near.join(common.merged(prints), "fp").select(F.col("_b").alias("fp"), F.col("low").alias("n")), "near")
+    equal = nodes.join(common.merged(prints), "fp").where("_node <> low").select(F.col("low").alias("n"), F.col("_node").alias("m"))
+    met = near.join(common.merged(prints), "fp").select("n", F.col("low").alias("m")).union(equal)
+    return met.select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b"))
+
+
 def _joined(rows: DataFrame, texts: DataFrame, size: int, least: float, cell_limit: int) -> DataFrame:
-    """(node, component) of the nodes that have a link. rows: a stored table of _row, _node, _keys; texts: (_row, text)."""
-    nodes = common.numbers(rows.groupBy("_node").agg(F.min("_row").alias("first"), F.min("_keys").alias("keys")), "nodes")
+    """(node, component) of the nodes that have a link. rows: a stored table of _row, _node, _keys, _print; texts: (_row, text)."""
+    nodes = common.numbers(rows.groupBy("_node").agg(F.min("_row").alias("first"), F.min("_keys").alias("keys"), F.min("_print").alias("fp")), "nodes")
     around = nodes.select(F.col("_node").alias("n"), F.explode("keys").alias("cell"))
     sizes = around.groupBy("cell").count().where("count > 1")
     cells = common.numbers(around.join(sizes, "cell"), "cells")  # of most nodes no cell is shared
     few = cells.where(F.col("count") <= cell_limit)
     a, b = few.select("cell", F.col("n").alias("a")), few.select("cell", F.col("n").alias("b"))
-    pairs = a.join(b, "cell").where("a < b").select("a", "b")
+    pairs = a.join(b, "cell").where("a < b").select("a", "b").union(_grid_pairs(nodes))
     crowd = cells.where(F.col("count") > cell_limit)
     if crowd.isEmpty():
         return components(_checked(pairs, texts, nodes, size, least))
@@ -256,7 +272,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, least: float = SIMILARITY, ce
     be told apart and always stays. docs is read several times, so it should be a stored table."""
     rows = common.told_apart(docs)
     texts = rows.select("_row", F.col("doc.text").cast("binary").alias("text"))
-    nodes = common.materialize(spread(texts).mapInArrow(functools.partial(_nodes, size=size), "_row long, _node long, _keys array<long>"), "rows")
+    nodes = common.materialize(spread(texts).mapInArrow(functools.partial(_nodes, size=size), "_row long, _node long, _keys array<long>, _print long"), "rows")
     found = common.numbers(_joined(nodes, texts, size, least, cell_limit), "components")
     groups = nodes.select("_row", "_node").join(found, F.col("_node") == F.col("node"), "left")
     return first_of_each(rows, common.numbers(groups.select("_row", F.coalesce("component", "_node").alias("component")), "groups"))

@@ -1,10 +1,12 @@
+import functools
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scrubline.llm import minhash as mh, simhash
+from scrubline.llm import common, minhash as mh, simhash
 
 
 def shingles(text):
@@ -117,3 +119,21 @@ def test_counts_of_blocks_equal_sets():
     left, right = [some() for _ in range(40)], [some() for _ in range(30)] + [np.zeros(0, np.uint64)]
     for a, b in ((left, right), (left, []), ([], right)):
         assert mh.shared_counts(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
+def test_the_grid_of_fingerprints_gives_candidates_and_the_similarity_decides(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [[word() for _ in range(4000)] for _ in range(4)]
+    texts = [" ".join(w) for b in base for w in (b, [*b, "end"], [*b, "end", "two"])] + ["p q r s t u v", " ".join(word() for _ in range(90))]
+    texts = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "_row long, text binary")
+    made = common.materialize(texts.mapInArrow(functools.partial(mh._nodes, size=5), "_row long, _node long, _keys array<long>, _print long"), "rows")
+    bare = common.materialize(made.withColumn("_keys", F.array().cast("array<long>")), "rows")  # no bands
+    node = {r._row: r._node for r in bare.collect()}
+    found = {r.node: r.component for r in mh._joined(bare, texts, 5, 0.8, 16).collect()}
+    assert {i for i, n in node.items() if n in found} == set(range(12))
+    assert len({found[node[i]] for i in range(12)}) == 4
+    one = common.materialize(bare.withColumn("_print", F.lit(7).cast("long")), "rows")  # one fingerprint: only what is similar links
+    low = min(node.values())
+    like = [n for i, n in node.items() if i < 12 and i // 3 in [k // 3 for k, v in node.items() if v == low and k < 12]]
+    assert {r.node for r in mh._joined(one, texts, 5, 0.8, 16).collect()} == set(like)
